@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _spans, pii, secrets, sharding
+from . import _spans, bpe, decontaminate, pii, secrets, sharding
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -31,4 +31,17 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select(F.col("path").alias("doc_id"), *_digest("findings", secrets.BASE))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_secrets)}
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = decontaminate.scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_items = F.size("items").cast("long")
+    return seen.select("doc_id", "n_words", decontaminate.n_hit().alias("n_hit"), n_items.alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_items >= 2).alias("contaminated"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_secrets, op4_decontaminate, op10_bpe)}

@@ -50,3 +50,65 @@ def digest(text, base):
     got = spans(text, base)
     s = ",".join(f"{k}:{a}:{b}" for a, _, b, k in got)
     return {**{f"n_{k}": sum(x[3] == k for x in got) for k, _ in base}, "base_sha256": hashlib.sha256(s.encode()).hexdigest(), "spans": s}
+
+
+def contaminated(text, items, window=8):
+    """(n_words, n_hit, sorted item ids) of a text."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
+    hit, ids = [False] * len(words), set()
+    for item, body in items:
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(body or ""))
+        size = min(window, len(own))
+        grams = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)} if size else set()
+        for i in range(len(words) - size + 1) if size else ():
+            if tuple(words[i : i + size]) in grams:
+                ids.add(str(item))
+                hit[i : i + size] = [True] * size
+    return len(words), sum(hit), sorted(ids)
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m.group().lower(), text)
+
+
+def repeats(docs, window=13):
+    """doc_id -> (n_words, n_removed, kept words), of {doc_id: text}."""
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in docs.items()}
+    first = {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - window + 1):
+            first.setdefault(tuple(words[d][i : i + window]), d)
+    out = {}
+    for d, own in words.items():
+        gone = [False] * len(own)
+        for i in range(len(own) - window + 1):
+            if first[tuple(own[i : i + window])] < d:
+                gone[i : i + window] = [True] * window
+        out[d] = len(own), sum(gone), " ".join(w for w, g in zip(own, gone, strict=True) if not g)
+    return out
+
+
+def shingles(text, size=2):
+    own = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+    return {tuple(own[i : i + size]) for i in range(max(1, len(own) - size + 1))} if own else set()
+
+
+def near(docs, size=2):
+    """doc_id -> (n_shingles, component_id), by comparing all pairs."""
+    sets = {d: shingles(t, size) for d, t in docs.items()}
+    up = {d: d for d in docs}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(docs)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = sorted((top(a), top(b)))
+                    up[y] = x
+    return {d: (len(sets[d]), top(d)) for d in docs}
