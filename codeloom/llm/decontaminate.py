@@ -88,7 +88,8 @@ def _scan(grams: Grams, text: str, prior: bool):
                 w = Words(data, offsets, ALNUM, lower=True)
                 counts.append(w.counts())
                 by_row = defaultdict(list)
-                rows = np.searchsorted(w.rows, [i for i, _, _ in (found := grams.hits(w))], "right") - 1
+                found = grams.hits(w)
+                rows = np.searchsorted(w.rows, [i for i, _, _ in found], "right") - 1
                 for r, hit in zip(rows.tolist(), found, strict=True):
                     by_row[r].append(hit)
                 for r, own in by_row.items():
