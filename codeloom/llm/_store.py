@@ -32,6 +32,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: lineage ends there, and a lost executor costs a read."""
     spark, path = df.sparkSession, folder(df.sparkSession, name)
     df.write.parquet(path)
+    spark._jvm.System.gc()  # lets Spark's cleaner delete shuffle files that nothing refers to any more
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _spans, bpe, decontaminate, pii, secrets, sharding, substring
+from . import _spans, bpe, decontaminate, neardup, pii, secrets, sharding, substring
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -41,6 +41,11 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), digests=True)
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), shingle=2)
+    return got.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,4 +53,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_secrets, op4_decontaminate, op6_substring, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_secrets, op4_decontaminate, op6_substring, op7_neardup, op10_bpe)}
