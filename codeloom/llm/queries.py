@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _spans, bpe, decontaminate, neardup, pii, secrets, sharding, substring
+from . import _spans, bpe, chat, decontaminate, neardup, pii, secrets, sharding, substring
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -46,6 +46,12 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    return chat.digests(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,4 +59,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_secrets, op4_decontaminate, op6_substring, op7_neardup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_secrets, op4_decontaminate, op6_substring, op7_neardup, op8_chat, op10_bpe)}
