@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _spans, bpe, chat, decontaminate, neardup, pii, secrets, sharding, substring
+from . import _spans, ann, bpe, chat, decontaminate, neardup, pii, secrets, sharding, substring
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -37,6 +37,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", "n_words", decontaminate.n_hit().alias("n_hit"), n_items.alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_items >= 2).alias("contaminated"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.Index(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).search(every=100, k=10)
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), digests=True)
 
@@ -59,4 +63,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_secrets, op4_decontaminate, op6_substring, op7_neardup, op8_chat, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_secrets, op4_decontaminate, op5_ann, op6_substring, op7_neardup, op8_chat, op10_bpe)}
