@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _spans, ann, bpe, chat, decontaminate, neardup, pii, secrets, sharding, substring
+from . import _spans, ann, bpe, chat, decontaminate, neardup, pii, quality, secrets, sharding, substring
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -56,6 +56,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "p_weak", "score", "kept")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,4 +67,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_secrets, op4_decontaminate, op5_ann, op6_substring, op7_neardup, op8_chat, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_secrets, op4_decontaminate, op5_ann, op6_substring, op7_neardup, op8_chat, op9_quality, op10_bpe)}
