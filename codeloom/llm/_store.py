@@ -46,3 +46,17 @@ def arrow(spark: SparkSession) -> None:
     """Bounds an Arrow batch by bytes, so that long texts make small batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def aside(df: DataFrame, names: tuple[str, ...] | list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with those of its columns that clash with `names` renamed, and their former names, for back()."""
+    clash = {f"__{c}_{uuid.uuid4().hex[:8]}": c for c in df.columns if c.lower() in {n.lower() for n in names}}
+    for new, old in clash.items():
+        df = df.withColumnRenamed(old, new)
+    return df, clash
+
+
+def back(df: DataFrame, clash: dict[str, str], columns: list[str]) -> DataFrame:
+    """The given columns of df, under their former names."""
+    former = {old: new for new, old in clash.items()}
+    return df.select(*(df[former.get(c, c)].alias(c) for c in columns))

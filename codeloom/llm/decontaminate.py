@@ -145,11 +145,12 @@ def n_hit() -> F.Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", items: int = 2, spans: bool = True) -> DataFrame:
     """docs without those that hold windows of `items` or more benchmark items; from the others' texts, hit words and what stands between them are removed if `spans`."""
+    names = docs.columns
+    docs, clash = _store.aside(docs, list(_ARROW))
     seen = scan(docs, benchmark, text).where(F.size("items") < items)
     if not spans:
-        return seen.select(docs.columns)
+        return _store.back(seen, clash, names)
     whole = seen.schema
-    names = docs.columns
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,4 +169,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", items: int
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return seen.mapInArrow(strip, whole).select(names)
+    return _store.back(seen.mapInArrow(strip, whole), clash, names)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import _spans
+from . import _spans, _store
 
 BASE = ("email", "ip", "card", "phone")
 
@@ -82,5 +82,7 @@ def detect(docs: DataFrame, text: str = "text", least: float = 0.0) -> DataFrame
 
 def redact(docs: DataFrame, text: str = "text", least: float = 0.0) -> DataFrame:
     """docs, with each span of personal data in the text replaced by its kind in brackets. A null text stays null."""
+    names = docs.columns
+    docs, clash = _store.aside(docs, ["pii"])
     seen = detect(docs, text, least)
-    return seen.withColumn(text, F.when(F.col(text).isNotNull(), _spans.masked(F.col(text), F.col("pii")))).drop("pii")
+    return _store.back(seen.withColumn(text, F.when(F.col(text).isNotNull(), _spans.masked(F.col(text), F.col("pii")))), clash, names)
