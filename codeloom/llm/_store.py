@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codeloom.ship import ship
+
 _own: list[str] = []
 
 
@@ -43,7 +45,8 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def arrow(spark: SparkSession) -> None:
-    """Bounds an Arrow batch by bytes, so that long texts make small batches."""
+    """Sends the package to the executors, and bounds an Arrow batch by bytes, so that long texts make small batches."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

@@ -166,6 +166,7 @@ class Index:
 
     def __init__(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE):
         spark = vectors.sparkSession
+        _store.arrow(spark)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
         plain = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable("vector"))
         first = plain.orderBy(F.xxhash64("vec_id"), "vec_id").select("vector").limit(sample).collect()
