@@ -76,5 +76,7 @@ class Ledger:
         # Rows that repeat both path and text would be scanned twice; the ledger takes them once.
         fresh = texts.select("blob", F.lit(rules).alias("rule_version"), found(F.col("text")).alias("findings"))
         fresh.write.mode("append").parquet(self.at)
-        rows = self.read().where(F.col("rule_version") == rules).select("blob", "findings").dropDuplicates(["blob"])
-        return paths.join(rows.where(F.size("findings") > 0), "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast(_spans.SPAN)))
+        hits = self.read().where((F.col("rule_version") == rules) & (F.size("findings") > 0))
+        # Written by itself, so that the join's two sides are plain exchanges, which AQE can split where a third of all paths hold one blob.
+        rows = _store.cut(hits.select("blob", "findings").dropDuplicates(["blob"]), "findings")
+        return paths.join(rows, "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast(_spans.SPAN)))
