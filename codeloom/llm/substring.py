@@ -30,8 +30,8 @@ from ._text import Words, covered, pieces
 WINDOW = 13
 #: Bytes of text in a group, about; two or three groups' words are in a worker's memory at once.
 GROUP = 8 << 20
-#: Splits of the fingerprint space: a power of two, at most 256.
-SPLITS = 256
+#: Bits of a fingerprint that choose its split (8 to 16), and bytes of text that a split is meant for, about; a table of more text gets more splits.
+BITS, SPLIT = 8, 16 << 20
 _NULL = -(2**63)
 _RUN = "split int, grp long, ids binary, prints binary, owners binary"
 
@@ -47,10 +47,10 @@ def _planes(prints: np.ndarray) -> bytes:
     return np.ascontiguousarray(prints.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 1:].T).tobytes()
 
 
-def _from_planes(body: bytes, split: int) -> np.ndarray:
+def _from_planes(body: bytes, split: int, bits: int) -> np.ndarray:
     planes = np.frombuffer(body, np.uint8).reshape(7, -1)
     full = np.empty((planes.shape[1], 8), np.uint8)
-    full[:, 0] = split
+    full[:, 0] = split >> (bits - 8)
     full[:, 1:] = planes.T
     return full.view(">u8").ravel().astype(np.uint64)
 
@@ -68,7 +68,7 @@ def _grouped(table: pa.Table, window: int) -> Iterator[tuple[int, Words, np.ndar
         yield a, w, first, prints, a + w.row_of()[first]
 
 
-def _emit(window: int):
+def _emit(window: int, bits: int):
     """A group's runs: for each split, its distinct fingerprints in order, and which document of the group is the smallest with each."""
 
     def emit(table: pa.Table) -> pa.Table:
@@ -85,7 +85,7 @@ def _emit(window: int):
         new = np.ones(len(prints), bool)
         new[1:] = prints[1:] != prints[:-1]
         prints, docs = prints[new], docs[new]
-        splits, starts = np.unique(prints >> np.uint64(56), return_index=True)
+        splits, starts = np.unique(prints >> np.uint64(64 - bits), return_index=True)
         ends = np.append(starts, len(prints))[1:].tolist()
         kind = np.uint16 if len(distinct) <= 0x10000 else np.uint32
         rows = {"split": [], "grp": [], "ids": [], "prints": [], "owners": []}
@@ -102,9 +102,9 @@ def _emit(window: int):
     return emit
 
 
-def _open(row: dict) -> tuple[np.ndarray, np.ndarray]:
+def _open(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints and smallest documents of a run's row."""
-    prints = _from_planes(row["prints"], row["split"])
+    prints = _from_planes(row["prints"], row["split"], bits)
     if not len(prints):
         return prints, np.zeros(0, np.int64)
     kind = np.uint16 if len(row["owners"]) == 2 * len(prints) else np.uint32
@@ -118,7 +118,7 @@ _MERGED_ARROW = pa.schema([("kind", pa.int32()), ("split", pa.int32()), ("grp",
 _INDEX = -1
 
 
-def _merge(keep: bool):
+def _merge(keep: bool, bits: int):
     def merge(table: pa.Table) -> pa.Table:
         out: dict[str, list] = {n: [] for n in _MERGED_ARROW.names}
 
@@ -126,7 +126,7 @@ def _merge(keep: bool):
             for k, v in zip(out, (kind, split, grp, ids, prints, owners), strict=True):
                 out[k].append(v)
 
-        runs = [(r["grp"], *_open(r)) for r in table.to_pylist()]
+        runs = [(r["grp"], *_open(r, bits)) for r in table.to_pylist()]
         if runs:
             split = table.column("split")[0].as_py()
             prints = np.concatenate([x for _, x, _ in runs])
@@ -159,9 +159,9 @@ _RESULT = {
 }
 
 
-def _remove(window: int, digests: bool):
+def _remove(window: int, digests: bool, bits: int):
     def remove(docs: pa.Table, told: pa.Table) -> pa.Table:
-        lost = [_from_planes(r["prints"], r["split"]) for r in told.to_pylist()]
+        lost = [_from_planes(r["prints"], r["split"], bits) for r in told.to_pylist()]
         lost = np.sort(np.concatenate(lost)) if lost else np.zeros(0, np.uint64)
         ids = _ids(docs)
         parts = list(_grouped(docs, window))
@@ -201,9 +201,10 @@ class FingerprintIndex:
     `at` is a folder with one Parquet table for each run. With at=None nothing is kept between batches.
     """
 
-    def __init__(self, spark: SparkSession, at: str | None = None, window: int = WINDOW, group: int = GROUP):
-        self.spark, self.at, self.window, self.group = spark, at, window, group
+    def __init__(self, spark: SparkSession, at: str | None = None, window: int = WINDOW, group: int = GROUP, bits: int = BITS):
+        self.spark, self.at, self.window, self.group, self.bits = spark, at, window, group, bits
         self.runs: list[str] = []
+        self._made = 0
 
     def _history(self) -> DataFrame | None:
         return self.spark.read.schema(_RUN).parquet(*self.runs) if self.runs else None
@@ -211,24 +212,30 @@ class FingerprintIndex:
     def add(self, docs: DataFrame, digests: bool = False) -> DataFrame:
         """doc_id, n_words, n_removed and the kept words (text, or with `digests` their SHA-256) of each row of docs (doc_id, text); the index, if kept, gets a new run."""
         _store.arrow(self.spark)
-        size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+        size = _size(docs)
         groups = max(1, -(-size // self.group))
         dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
         # The same exchange feeds the runs and the removal, so texts are shuffled once.
-        runs = dealt.groupBy("grp").applyInArrow(_emit(self.window), _RUN)
+        runs = dealt.groupBy("grp").applyInArrow(_emit(self.window, self.bits), _RUN)
         history = self._history()
-        merged = (runs if history is None else runs.unionByName(history)).groupBy("split").applyInArrow(_merge(self.at is not None), _MERGED)
+        merged = (runs if history is None else runs.unionByName(history)).groupBy("split").applyInArrow(_merge(self.at is not None, self.bits), _MERGED)
         if self.at is not None:
-            path = f"{self.at}/run-{len(self.runs):06d}"
+            path = f"{self.at}/run-{self._made:06d}"
+            self._made += 1
             merged.write.partitionBy("kind").parquet(path)
             kept = self.spark.read.parquet(path)
             # The merged run takes in all earlier ones.
             self.runs = [f"{path}/kind=1"]
             merged = kept
         told = merged.where(F.col("kind") == 0).select("grp", "split", "prints")
-        return dealt.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(_remove(self.window, digests), _RESULT[digests][0])
+        return dealt.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(_remove(self.window, digests, self.bits), _RESULT[digests][0])
+
+
+def _size(docs: DataFrame) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, digests: bool = False) -> DataFrame:
     """One batch against an empty index that is not kept."""
-    return FingerprintIndex(docs.sparkSession, None, window).add(docs, digests)
+    bits = min(16, max(BITS, (_size(docs) // SPLIT).bit_length()))
+    return FingerprintIndex(docs.sparkSession, None, window, bits=bits).add(docs, digests)
