@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from . import _store
 
-#: Distinct matches whose encodings a worker keeps; beyond this it starts afresh.
-CACHE = 300_000
+#: Distinct matches whose encodings a worker keeps, in each of two generations; pairs of tokens known to be compatible or not.
+CACHE, PAIRS = 200_000, 500_000
 _LOCAL: dict[tuple, BPE] = {}
 
 
@@ -41,10 +42,25 @@ class BPE:
         self.longest = max(map(len, ranks))
         #: The two tokens whose merge made each token (itself, for single bytes).
         self.parts: dict[int, tuple[int, int] | None] = {}
-        self._valid: dict[tuple[int, int], bool] = {}
+        self._width = max(ranks.values()) + 1
+        self._valid: dict[int, bool] = {}
         self._cache: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        #: Every end of a token, with its id, or -1 if it isn't one itself.
+        self._ends: dict[bytes, int] = {}
+        for token in ranks:
+            for i in range(len(token) - 1, 0, -1):
+                self._ends.setdefault(token[i:], -1)
+        self._ends |= ranks
+        self._pair: dict[int, int] = {}
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
             self.parts[i] = self._split(token, i)
+        # Every pair of tokens that joins to one, by the ids' product code, for the ways to cut each token in two.
+        for token, i in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    self._pair[a * self._width + b] = i
 
     def _split(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The last merge of a token: BPE over its bytes, with only lower ranks, leaves two parts."""
@@ -64,21 +80,18 @@ class BPE:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE, over the bytes of both, gives just these two tokens: no merge across their border comes before the merges that made them."""
-        key = (left, right)
-        known = self._valid.get(key)
-        if known is not None:
-            return known
         limit, a, b, fine = 1 << 62, left, right, True
+        pair, parts, width = self._pair.get, self.parts, self._width
         while True:
-            r = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+            r = pair(a * width + b)
             if r is not None and r < limit:
                 fine = False
                 break
             # Undo the later of the two merges next to the border; of equals, the right one came later.
             if a > b:
-                limit, part = a, self.parts[a]
+                limit, part = a, parts[a]
                 if part is None:
-                    limit, part = b, self.parts[b]
+                    limit, part = b, parts[b]
                     if part is None:
                         break
                     b = part[0]
@@ -86,27 +99,35 @@ class BPE:
                     continue
                 a = part[1]
             else:
-                limit, part = b, self.parts[b]
+                limit, part = b, parts[b]
                 if part is None:
-                    limit, part = a, self.parts[a]
+                    limit, part = a, parts[a]
                     if part is None:
                         break
                     a = part[1]
                     continue
                 b = part[0]
                 limit += 1
-        if len(self._valid) > 2_000_000:
+        if len(self._valid) > PAIRS:
             self._valid.clear()
-        self._valid[key] = fine
+        self._valid[left * width + right] = fine
         return fine
 
     def extend(self, data: bytes, last: list[int], old: list[int] | None = None, shift: int = 0) -> list[int]:
         """Adds to `last` the last token of each longer prefix of data, from len(last) bytes on. `old` may be a table of an earlier text with the same bytes from some place on, `shift` bytes later there: once `longest` entries in a row agree with it, the rest is copied."""
-        agree = 0
+        agree, ends, valid, width = 0, self._ends.get, self._valid, self._width
         for end in range(len(last) + 1, len(data) + 1):
-            for size in range(min(self.longest, end), 0, -1):
-                t = self.ranks.get(data[end - size : end])
-                if t is not None and (size == end or self.compatible(last[end - size - 1], t)):
+            for start in range(end - 1, -1, -1):
+                t = ends(data[start:end])
+                if t is None:  # no token ends in this
+                    raise ValueError("no valid token ends here")
+                if t >= 0:
+                    if start:
+                        fine = valid.get(last[start - 1] * width + t)
+                        if fine is None:
+                            fine = self.compatible(last[start - 1], t)
+                        if not fine:
+                            continue
                     last.append(t)
                     break
             else:
@@ -140,21 +161,25 @@ class BPE:
 
     def packed(self, piece: str) -> bytes:
         """The ids of one match, as little-endian 32-bit integers."""
-        got = self._cache.get(piece)
+        got = self._older.get(piece)
         if got is None:
             data = piece.encode()
             whole = self.ranks.get(data)
-            ids = [whole] if whole is not None else self.tokens(self.prefixes(data))
-            got = np.array(ids, "<u4").tobytes()
-            if len(piece) <= 64:
-                if len(self._cache) >= CACHE:
-                    self._cache.clear()
-                self._cache[piece] = got
+            ids = (whole,) if whole is not None else self.tokens(self.prefixes(data))
+            got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= 64:
+            if len(self._cache) >= CACHE:
+                self._older, self._cache = self._cache, {}
+            self._cache[piece] = got
         return got
 
     def encode_packed(self, text: str) -> bytes:
-        cache, packed = self._cache, self.packed
-        return b"".join([cache.get(p) or packed(p) for p in self.pattern.findall(text)])
+        packed = self.packed
+        out, found = [], self.pattern.findall(text)
+        for i in range(0, len(found), 5000):  # the cache may be another one after some matches
+            cache = self._cache.get
+            out.append(b"".join([cache(p) or packed(p) for p in found[i : i + 5000]]))
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()

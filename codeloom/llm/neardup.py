@@ -8,8 +8,9 @@ depth follows the region and the number of candidates grows with the documents,
 sizes of the groups. Candidates must also agree in enough short lanes, and are then confirmed on
 the full sets of 64-bit shingle hashes.
 
-Equal sets are first folded into one row by a partial aggregate. Of the candidates, each
-document's most alike are confirmed first; the rest only where that left their documents apart. Links
+Equal sets are first folded into one row by a partial aggregate. A few trees come first; of their
+candidates, each document's most alike are confirmed, and their components found. The other trees then
+pass over neighbours that are already connected, so a large group of copies yields few more pairs. Links
 and components stay in tables.
 
 Null, empty and blank texts have no shingles, and link with nothing. Rows with a null doc_id take no
@@ -32,8 +33,8 @@ from ._text import NOT_SPACE, Words, mix, pieces
 TREES, DEPTH, LEAST, REACH = 32, 8, 3, 8
 #: Short lanes, and how many must agree: 24 of 48 is over five standard deviations below similarity 0.8.
 SHORT, AGREE = 48, 24
-#: Candidates of a document that are confirmed first.
-FIRST = 3
+#: Candidates of a document that are confirmed first, and trees that propose them.
+FIRST, EARLY = 3, 8
 
 _rng = np.random.default_rng(7919)
 _FLIP = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
@@ -89,54 +90,73 @@ def _sign(size: int):
     return sign
 
 
-#: An entry sorts by tree, then lanes; after them come short lanes, size and id.
+#: An entry sorts by tree, then lanes; after them come short lanes, size, root and id.
 _HEAD = 1 + 2 * DEPTH
-_ENTRY = _HEAD + SHORT + 8 + 8
-
-
-def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """An entry for each tree, of rows (rep, n, sig)."""
-    for batch in batches:
-        rows = batch.num_rows
-        if not rows:
-            continue
-        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(rows, -1)
-        entry = np.zeros((TREES, rows, _ENTRY), np.uint8)
-        entry[:, :, 0] = np.arange(TREES)[:, None]
-        entry[:, :, 1:_HEAD] = sig[:, : 2 * TREES * DEPTH].reshape(rows, TREES, 2 * DEPTH).transpose(1, 0, 2)
-        entry[:, :, _HEAD : _HEAD + SHORT] = sig[:, 2 * TREES * DEPTH :]
-        entry[:, :, -16:-8] = batch.column(1).to_numpy().astype(">i8").view(np.uint8).reshape(rows, 8)
-        entry[:, :, -8:] = batch.column(0).to_numpy().astype(">i8").view(np.uint8).reshape(rows, 8)
-        for t in range(TREES):
-            body = pa.py_buffer(entry[t].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.FixedSizeBinaryArray.from_buffers(pa.binary(_ENTRY), rows, [None, body]).cast(pa.binary())], ["entry"])
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of ids (a < b) with the number of short lanes that agree, of sorted entries. The last REACH rows of a batch are looked at again with the next."""
-    tail = np.zeros((0, _ENTRY), np.uint8)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        e = np.concatenate((tail, np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, _ENTRY)))
-        fresh = len(tail)
-        ids, sizes = e[:, -8:].copy().view(">i8").ravel().astype(np.int64), e[:, -16:-8].copy().view(">i8").ravel().astype(np.int64)
-        short = e[:, _HEAD : _HEAD + SHORT]
-        found = []
-        for s in range(1, REACH + 1):
-            if len(e) <= s:
-                break
-            i = np.flatnonzero((e[s:, : 1 + 2 * LEAST] == e[:-s, : 1 + 2 * LEAST]).all(axis=1))
-            i = i[i + s >= fresh]
-            small, large = np.minimum(sizes[i], sizes[i + s]), np.maximum(sizes[i], sizes[i + s])
-            i = i[100 * small >= 80 * large]
-            agree = (short[i] == short[i + s]).sum(axis=1)
-            i, agree = i[agree >= AGREE], agree[agree >= AGREE]
-            found.append((np.minimum(ids[i], ids[i + s]), np.maximum(ids[i], ids[i + s]), agree))
-        tail = e[-REACH:]
-        if found:
-            a, b, n = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int32))], ["a", "b", "agree"])
+_ENTRY = _HEAD + SHORT + 24
+
+
+def _plant(trees: range):
+    """An entry for each tree, of rows (rep, n, sig, root)."""
+
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                rows = batch.num_rows
+                sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(rows, -1)
+                entry = np.zeros((rows, _ENTRY), np.uint8)
+                entry[:, _HEAD : _HEAD + SHORT] = sig[:, 2 * TREES * DEPTH :]
+                for at, c in ((-24, 1), (-16, 3), (-8, 0)):
+                    entry[:, at : (at + 8) or None] = batch.column(c).to_numpy().astype(">i8").view(np.uint8).reshape(rows, 8)
+                for t in trees:
+                    entry[:, 0] = t
+                    entry[:, 1:_HEAD] = sig[:, 2 * t * DEPTH : 2 * (t + 1) * DEPTH]
+                    body = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_ENTRY), rows, [None, pa.py_buffer(entry.tobytes())])
+                    yield pa.RecordBatch.from_arrays([body.cast(pa.binary())], ["entry"])
+
+    return plant
+
+
+def _number(e: np.ndarray, at: int) -> np.ndarray:
+    return e[:, at : (at + 8) or None].copy().view(">i8").ravel().astype(np.int64)
+
+
+def _neighbours(reach: int):
+    """Pairs of ids (a < b) of different roots with the number of short lanes that agree, of sorted entries. The last `reach` rows of a batch are looked at again with the next."""
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = np.zeros((0, _ENTRY), np.uint8)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            e = np.concatenate((tail, np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, _ENTRY)))
+            fresh = len(tail)
+            sizes, roots, ids = (_number(e, at) for at in (-24, -16, -8))
+            short = e[:, _HEAD : _HEAD + SHORT]
+            found = []
+            for s in range(1, reach + 1):
+                if len(e) <= s:
+                    break
+                i = np.flatnonzero((e[s:, : 1 + 2 * LEAST] == e[:-s, : 1 + 2 * LEAST]).all(axis=1))
+                i = i[(i + s >= fresh) & (roots[i] != roots[i + s])]
+                small, large = np.minimum(sizes[i], sizes[i + s]), np.maximum(sizes[i], sizes[i + s])
+                i = i[100 * small >= 80 * large]
+                agree = (short[i] == short[i + s]).sum(axis=1)
+                i, agree = i[agree >= AGREE], agree[agree >= AGREE]
+                found.append((np.minimum(ids[i], ids[i + s]), np.maximum(ids[i], ids[i + s]), agree))
+            tail = e[-reach:]
+            if found:
+                a, b, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int32))], ["a", "b", "agree"])
+
+    return neighbours
+
+
+def _candidates(reps: DataFrame, trees: range, reach: int) -> DataFrame:
+    """(a, b, agree), distinct, that the trees propose for reps (rep, n, sig, root)."""
+    entries = reps.select("rep", "n", "sig", "root").mapInArrow(_plant(trees), "entry binary")
+    raw = entries.repartitionByRange("entry").sortWithinPartitions("entry").mapInArrow(_neighbours(reach), "a long, b long, agree int")
+    return raw.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
 def _sets(size: int):
@@ -160,6 +180,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
+def _gathered(plain: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(id, shingles) of the documents in pairs, as a table. Their texts cross the network once, without a sort: the list of ids is the side that is hashed."""
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    needed = plain.join(ends.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi")
+    return _store.cut(needed.mapInArrow(_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row of docs (doc_id long, text). Two documents are linked if their sets of `shingle`-word shingles have a Jaccard similarity of `percent` or more (80 or more, which LEAST and AGREE are made for)."""
     if percent < 80:
@@ -169,26 +196,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, text:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     base = _store.cut(plain.mapInArrow(_sign(shingle), "doc_id long, n long, key binary, sig binary"), "signatures")
     reps = _store.cut(base.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("key", "n", "sig").agg(F.min("doc_id").alias("rep")), "sets")
-    entries = reps.select("rep", "n", "sig").mapInArrow(_plant, "entry binary")
-    raw = entries.repartitionByRange("entry").sortWithinPartitions("entry").mapInArrow(_neighbours, "a long, b long, agree int")
-    pairs = _store.cut(raw.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    # The text crosses the network once, without a sort: the list of ids is the side that is hashed.
-    needed = plain.join(ends.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi")
-    sets = _store.cut(needed.mapInArrow(_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
+    pairs = _store.cut(_candidates(reps.withColumn("root", F.col("rep")), range(EARLY), REACH), "pairs")
     either = pairs.select(F.col("a").alias("me"), "a", "b", "agree").union(pairs.select(F.col("b").alias("me"), "a", "b", "agree"))
     best = either.withColumn("place", F.row_number().over(Window.partitionBy("me").orderBy(F.desc("agree"), "a", "b"))).where(F.col("place") <= FIRST)
     first = _store.cut(best.select("a", "b").distinct(), "first-pairs")
-    links = _confirmed(first, sets, percent)
+    links = _confirmed(first, _gathered(plain, first, shingle), percent)
     once = _store.cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    rooted = _store.cut(reps.join(once, F.col("rep") == F.col("node"), "left").select("rep", "key", "n", "sig", F.coalesce("component", "rep").alias("root")), "rooted")
     root = lambda side: once.select(F.col("node").alias(side), F.col("component").alias(f"{side}_root"))
-    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    rest = rest.withColumns({f"{s}_root": F.coalesce(f"{s}_root", s) for s in "ab"}).where(F.col("a_root") != F.col("b_root"))
-    rest = _store.cut(rest, "apart")
-    more = rest.join(_confirmed(rest.select("a", "b"), sets, percent), ["a", "b"])
-    twice = components(more.select(F.col("a_root").alias("u"), F.col("b_root").alias("v"))).select(F.col("node").alias("root"), F.col("component").alias("top"))
-    found = reps.select("key", "rep").join(once, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("component", "rep")).join(twice, "root", "left")
-    by_set = found.select("key", F.coalesce("top", "root").alias("component_id"))
+    apart = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    apart = apart.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    rest = _store.cut(apart.union(_candidates(rooted, range(EARLY, TREES), REACH).select("a", "b")).distinct(), "apart")
+    more = _confirmed(rest, _gathered(plain, rest, shingle), percent).join(root("a"), "a", "left").join(root("b"), "b", "left")
+    twice = components(more.select(F.coalesce("a_root", "a").alias("u"), F.coalesce("b_root", "b").alias("v"))).select(F.col("node").alias("root"), F.col("component").alias("top"))
+    by_set = rooted.select("key", "root").join(twice, "root", "left").select("key", F.coalesce("top", "root").alias("component_id"))
     # A set that a third of all documents have makes this join's left side uneven; AQE splits it.
     out = base.select("doc_id", F.col("n").alias("n_shingles"), "key").join(by_set, "key", "left")
     own = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()

@@ -175,22 +175,19 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.int64()), pa.array(indices, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["pattern", "ids", "shares"])
 
 
-def train(rows: list[tuple[list[int], list[float]]], target: np.ndarray, rounds: int = 200, rate: float = 2.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias of logistic regression on soft labels, both classes weighing alike, by Adagrad."""
+def train(ids: np.ndarray, shares: np.ndarray, bounds: np.ndarray, target: np.ndarray, rounds: int = 200, rate: float = 2.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias of logistic regression on soft labels, both classes weighing alike, by Adagrad. Row i has the features ids and shares from bounds[i] to bounds[i + 1]."""
     weights, bias = np.zeros(FEATURES), 0.0
-    if not rows:
+    if not len(target):
         return weights, bias
-    ids = np.concatenate([np.asarray(r[0], np.int64) for r in rows])
-    shares = np.concatenate([np.asarray(r[1], np.float64) for r in rows])
-    bounds = np.concatenate(([0], np.cumsum([len(r[0]) for r in rows])))
     junk = max(target.sum(), 1.0)
     fine = max((1 - target).sum(), 1.0)
     balance = target * (fine / junk) + (1 - target)
-    row = np.repeat(np.arange(len(rows)), np.diff(bounds))
+    row = np.repeat(np.arange(len(target)), np.diff(bounds))
     seen, seen_bias = np.full(FEATURES, 1e-8), 1e-8
     for _ in range(rounds):
         z = np.add.reduceat(weights[ids] * shares, bounds[:-1]) + bias
-        slope = balance * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) / len(rows)
+        slope = balance * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) / len(target)
         g = np.bincount(ids, slope[row] * shares, FEATURES) + decay * weights
         seen += g * g
         weights -= rate * g / np.sqrt(seen)
@@ -218,9 +215,12 @@ class Quality:
         share = min(1.0, sample / max(1.0, counts.sum()))
         place = F.pmod(F.xxhash64(F.col(key), F.lit("quality")), F.lit(1 << 40))
         taken = docs.where(place < int(share * (1 << 40))).select(F.col(text).alias("text")).mapInArrow(_sampled, "pattern long, ids array<int>, shares array<float>")
-        rows = sorted(((r["pattern"], list(r["ids"]), list(r["shares"])) for r in taken.collect()), key=lambda r: (r[0], r[1]))
-        target = model.posterior(np.array([r[0] for r in rows], np.int64)) if rows else np.zeros(0)
-        weights, bias = train([(r[1], r[2]) for r in rows], target)
+        table = taken.toArrow().combine_chunks()
+        drawn = table.column("pattern").to_numpy()
+        sizes = np.array([len(x) for x in table.column("ids")], np.int64)
+        ids = table.column("ids").combine_chunks().flatten().to_numpy().astype(np.int64) if len(drawn) else np.zeros(0, np.int64)
+        shares = table.column("shares").combine_chunks().flatten().to_numpy().astype(np.float64) if len(drawn) else np.zeros(0)
+        weights, bias = train(ids, shares, np.concatenate(([0], np.cumsum(sizes))), model.posterior(drawn))
         return cls(model, weights, bias)
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
