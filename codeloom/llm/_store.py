@@ -48,7 +48,7 @@ def arrow(spark: SparkSession) -> None:
     """Sends the package to the executors, and bounds an Arrow batch by bytes, so that long texts make small batches."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def aside(df: DataFrame, names: tuple[str, ...] | list[str]) -> tuple[DataFrame, dict[str, str]]:

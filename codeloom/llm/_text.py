@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer single text is a piece of its own.
-PIECE = 1_000_000
+PIECE = 250_000
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
