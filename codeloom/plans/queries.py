@@ -249,9 +249,8 @@ def minhash_estimate(spark: S, d: D) -> DataFrame:
     """Estimated beside exact similarity of the pairs that bands propose."""
     sets = graph.cut(similarity.folded(similarity.shingled(table(spark, d, "documents"), "doc_id", "text")))
     sig = graph.cut(similarity.minhash(sets))
-    pairs = similarity.confirmed(similarity.band_candidates(sig), sets, 0.0)
-    a, b = sig.select(F.col("key").alias("a"), F.col("minhash").alias("x")), sig.select(F.col("key").alias("b"), F.col("minhash").alias("y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "similarity", similarity.estimate(F.col("x"), F.col("y")).alias("estimate"))
+    pairs = similarity.similarities(graph.cut(similarity.band_candidates(sig)), sets, 0.0)
+    return similarity.estimates(graph.cut(pairs), sig)
 
 
 @query(

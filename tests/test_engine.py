@@ -1,5 +1,7 @@
 """Operators on small hand-made graphs, tables and texts."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +88,17 @@ def test_similarity(spark):
     assert lexer.tokens('fn a(x: i32) { return "s" + 1; } // c') == lexer.tokens("fn b(y: i32) { return 'q' + 22; }")
 
 
+def test_lsh_recall_in_a_large_group(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    variants = [" ".join("edited" + str(rng.random()) if i in gone else w for i, w in enumerate(base)) for gone in ({rng.randrange(300) for _ in range(2)} for _ in range(300))]
+    docs = spark.createDataFrame(list(enumerate(variants)), "doc_id long, text string")
+    exact = {(r["a"], r["b"]): r["similarity"] for r in similarity.exact_pairs(similarity.folded(similarity.shingled(docs, "doc_id", "text"))).collect()}
+    found = {(r["a"], r["b"]): r["similarity"] for r in similarity.near_duplicates(docs, "doc_id", "text").collect()}
+    assert len(exact) > 20000 and len(found) >= 0.98 * len(exact)
+    assert all(found[p] == exact[p] for p in found)
+
+
 def test_search(spark, chain):
     assert [r["name"] for r in search.find_symbols(chain.symbols, "RUN").collect()] == ["run"]
     assert search.find_symbols(chain.symbols, "%").count() == 0
