@@ -3,8 +3,10 @@
 Product quantisation with 16 centroids for each subspace (four bits a code). Codes and centroids minimise an
 anisotropic loss: the residual's part parallel to the vector, which moves inner products with near
 queries most, weighs ETA times its orthogonal part. A search scans the codes with one table lookup for
-each pair of codes, for blocks of queries of bounded size, and reranks the best of every batch of
-rows on the original vectors; so of each batch BEST in ROWS rows are measured exactly.
+each pair of codes, for blocks of queries of bounded size, and measures the BEST of every batch of rows
+on the original vectors. Then it measures all other rows that may belong to the k nearest: those whose
+approximate score, plus the query's norm times the norm of the row's residual, reaches the k-th best. So
+the codes only spare work, and how much depends on the vectors: few rows are spared where residuals are long.
 
 Euclidean distance becomes an inner product: |q - x|^2 = |q|^2 - 2 (q.x - |x|^2 / 2), with |x|^2 kept exactly.
 
@@ -27,8 +29,10 @@ from . import _store
 SAMPLE, ROUNDS = 8192, 6
 #: The inner product, as a share of the norms' product, above which queries count as near.
 NEAR = 0.2
-#: Rows scanned at once, and how many of them are reranked for each query.
+#: Rows scanned at once, and how many of them are measured first for each query.
 ROWS, BEST = 4096, 48
+#: The share of a batch's (query, row) pairs to measure from which one product of matrices is quicker.
+MANY = 0.02
 #: Queries in one broadcast.
 QUERIES = 1024
 
@@ -106,6 +110,12 @@ class Codebook:
         c = self.codes(vectors)
         return (c[:, ::2] * 16 + c[:, 1::2]).astype(np.uint8)
 
+    def residuals(self, vectors: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """Norms of what the codes leave of each vector."""
+        codes = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(packed), -1)
+        gap = self._parts(vectors) - self.centroids[np.arange(codes.shape[1])[None, :], codes]
+        return np.sqrt((gap**2).sum(axis=(1, 2)))
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """(bytes of a code, queries, 256): what each byte of a code adds to the inner product."""
         q = self._parts(queries)
@@ -127,7 +137,8 @@ def _encode(book: Codebook):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1), book.dim) if batch.num_rows else np.zeros((0, book.dim))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in book.packed(x)], pa.binary())], ["vec_id", "vector", "codes"])
+            packed = book.packed(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(book.residuals(x, packed))], ["vec_id", "vector", "codes", "residual"])
 
     return encode
 
@@ -136,6 +147,16 @@ def _search(book: Codebook, ids: np.ndarray, queries: np.ndarray, k: int, best:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = book.tables(queries)
         top_d, top_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        squares = (queries**2).sum(axis=1)
+        norms = np.sqrt(squares)
+
+        def measure(q: int, near: np.ndarray, own: np.ndarray, x: np.ndarray) -> None:
+            near = near[own[near] != ids[q]]
+            d = np.sqrt(((x[near] - queries[q]) ** 2).sum(axis=1))
+            d, i = np.concatenate((top_d[q], d)), np.concatenate((top_i[q], own[near]))
+            keep = np.lexsort((i, d))[:k]
+            top_d[q], top_i[q] = d[keep], i[keep]
+
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
@@ -143,18 +164,33 @@ def _search(book: Codebook, ids: np.ndarray, queries: np.ndarray, k: int, best:
                 order = np.argsort(own, kind="stable")
                 own, x = own[order], _matrix(batch.column(1), book.dim)[order]
                 codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(own), -1)[order]
-                score = np.repeat((-(x**2).sum(axis=1) / 2).astype(np.float32)[None], len(ids), axis=0)
+                residual = batch.column(3).to_numpy()[order]
+                square = (x**2).sum(axis=1)
+                score = np.repeat((-square / 2).astype(np.float32)[None], len(ids), axis=0)
                 for j, table in enumerate(tables):
                     score += table[:, codes[:, j]]
                 score[ids[:, None] == own[None]] = -np.inf
                 take = min(best, len(own))
+                left = np.ones(score.shape, bool)
+                for q in range(len(ids)):
+                    near = np.argpartition(-score[q], take - 1)[:take]
+                    measure(q, near, own, x)
+                    left[q, near] = False
+                if take == len(own):
+                    continue
+                # Scores are sums in single precision; the slack covers their rounding.
+                slack = 1.2e-7 * (len(tables) + 4)
+                length = np.sqrt(square)
                 for q in range(len(ids)):
-                    near = np.argsort(-score[q], kind="stable")[:take] if take < len(own) else np.arange(len(own))
-                    near = near[own[near] != ids[q]]
-                    d = np.sqrt(((x[near] - queries[q]) ** 2).sum(axis=1))
-                    d, i = np.concatenate((top_d[q], d)), np.concatenate((top_i[q], own[near]))
-                    keep = np.lexsort((i, d))[:k]
-                    top_d[q], top_i[q] = d[keep], i[keep]
+                    bound = score[q] + norms[q] * residual + slack * (norms[q] * (length + residual) + square)
+                    left[q] &= ~(bound < (squares[q] - top_d[q, -1] ** 2) / 2)
+                products = queries @ x.T if left.mean() > MANY else None
+                for q in np.flatnonzero(left.any(axis=1)):
+                    near = np.flatnonzero(left[q])
+                    if products is not None:
+                        about = squares[q] + square[near] - 2 * products[q, near]
+                        near = near[~(about > top_d[q, -1] ** 2 + 1e-9 * (squares[q] + square[near]))]
+                    measure(q, near, own, x)
         q, place = np.nonzero(np.isfinite(top_d))
         yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(top_i[q, place]), pa.array(top_d[q, place])], ["query_id", "vec_id", "score"])
 
@@ -175,10 +211,10 @@ class Index:
         if first:
             dim = len(first[0][0])
             self.book = Codebook.fit(np.array([r[0] for r in first if len(r[0]) == dim]))
-            self.table = _store.cut(plain.where(F.size("vector") == dim).mapInArrow(_encode(self.book), "vec_id long, vector array<double>, codes binary"), "ann-index")
+            self.table = _store.cut(plain.where(F.size("vector") == dim).mapInArrow(_encode(self.book), "vec_id long, vector array<double>, codes binary, residual double"), "ann-index")
 
     def search(self, queries: DataFrame | None = None, every: int = 100, k: int = 10, block: int = QUERIES, best: int = BEST) -> DataFrame:
-        """query_id, rank, vec_id and score (Euclidean distance) of the k nearest found to each query but itself. Queries are the rows of the index whose id `every` divides, or `queries` (vec_id, vector)."""
+        """query_id, rank, vec_id and score (Euclidean distance) of the k nearest to each query but itself. Queries are the rows of the index whose id `every` divides, or `queries` (vec_id, vector)."""
         schema = "query_id long, vec_id long, score double"
         out = None
         if self.book is not None:

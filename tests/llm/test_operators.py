@@ -151,6 +151,21 @@ def test_ann_recall(spark):
     assert ann.Index(df.limit(0)).search().count() == 0
 
 
+def test_ann_in_a_tight_cluster(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 32))
+    centre = rng.normal(size=32)
+    x[:1000] = centre / np.linalg.norm(centre) + 0.01 * x[:1000]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.Index(df).search(every=50, k=10).collect()
+    hits = 0
+    for q in range(0, 3000, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.lexsort((np.arange(3000), d))[:10].tolist()))
+    assert hits == 600
+
+
 def test_substring(spark, docs, plain):
     got = by_id(substring.dedup(docs, digests=True))
     for i, (n, gone, kept) in brute.repeats(plain).items():
