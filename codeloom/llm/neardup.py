@@ -61,8 +61,15 @@ def sets_of(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.nd
         yield a, np.searchsorted(rows, np.arange(b - a + 1)), h
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit numbers whose high bits depend on all bits. Minima of large sets are small numbers, with high bits of 0."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
 def _sign(size: int):
-    """doc_id, n, key (equal for equal sets) and sig: the lanes of all trees (high 16 bits each), then the short lanes."""
+    """doc_id, n, key (equal for equal sets) and sig: the lanes of all trees (high 16 bits of each spread minimum), then the short lanes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,7 +89,7 @@ def _sign(size: int):
                 counts.append(n)
                 keys += [r.tobytes() for r in key]
                 every = np.arange(SHORT) * (TREES * DEPTH // SHORT)
-                body = np.concatenate(((lanes >> np.uint32(16)).astype(">u2").view(np.uint8).reshape(len(n), -1), (lanes[:, every] & np.uint32(0xFF)).astype(np.uint8)), axis=1)
+                body = np.concatenate(((_spread(lanes) >> np.uint32(16)).astype(">u2").view(np.uint8).reshape(len(n), -1), (lanes[:, every] & np.uint32(0xFF)).astype(np.uint8)), axis=1)
                 sigs += [r.tobytes() for r in body]
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n", "key", "sig"])

@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -189,6 +190,13 @@ def test_neardup(spark, docs, plain, size):
         assert (got[i]["n_shingles"], got[i]["component_id"]) == (n, top)
 
 
+def test_neardup_lanes_of_a_long_text():
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(f"w{i}" for i in range(300_000))])], ["doc_id", "text"])
+    out = next(neardup._sign(2)(iter([batch])))
+    lanes = np.frombuffer(out.column(3)[0].as_py(), ">u2", neardup.TREES * neardup.DEPTH)
+    assert len(np.unique(lanes)) >= 0.95 * len(lanes)
+
+
 def test_neardup_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c"), (2, "A B C"), (9, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect() if r.doc_id) == [(2, 2), (4, 2), (4, 2), (9, 9)]
