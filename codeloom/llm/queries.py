@@ -57,7 +57,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "p_weak", "score", "kept")
+    return quality.classify(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "p_weak", "score", "kept", "toxic")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

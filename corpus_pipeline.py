@@ -21,9 +21,9 @@ LEAKS = 1
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
-    plain, clash = _store.aside(docs, ["p_weak", "score", "kept"])
-    return _store.back(quality.classify(plain).where("kept"), clash, docs.columns)
+    """Documents that the classifier does not reject, and that are not toxic."""
+    plain, clash = _store.aside(docs, ["p_weak", "score", "n_abusive", "kept", "toxic"])
+    return _store.back(quality.classify(plain).where("kept AND NOT toxic"), clash, docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
@@ -233,6 +234,17 @@ def test_quality_odd_rows(spark):
     assert quality.classify(frame(spark, [])).count() == 0
 
 
+def test_toxic_documents(spark):
+    got = by_id(quality.classify(frame(spark, [*texts(4, 20), "You pathetic Idiot, nobody asked.", "Der Versager ist widerlich.", "They took the trash out."])))
+    n = len(got)
+    assert [got[i]["toxic"] for i in range(n - 3, n)] == [True, True, False] and not any(got[i]["toxic"] for i in range(n - 3))
+    import corpus_pipeline as cp
+
+    rows = spark.createDataFrame([(i, t, "mine") for i, t in enumerate([*texts(4, 20), "You pathetic idiot, nobody asked for this."])], "doc_id long, text string, toxic string")
+    kept = cp.keep_quality(spark, rows, "")
+    assert kept.columns == rows.columns and not kept.where(F.col("text").contains("pathetic")).count() and kept.count()
+
+
 def test_bpe(spark):
     P = pytest.importorskip("public_tokenizers")
     tiktoken = pytest.importorskip("tiktoken")
