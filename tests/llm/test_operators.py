@@ -168,6 +168,46 @@ def test_ann_in_a_tight_cluster(spark):
     assert hits == 600
 
 
+def test_ann_lengths(spark):
+    """The most common length is the index's, whichever vector hashes first; only the odd rows take no part."""
+    rng = np.random.default_rng(8)
+    for odd in range(3):
+        rows = [(i, [float(v) for v in rng.normal(size=8)], "x") for i in range(300)]
+        rows[odd] = (odd, [1.0, 2.0, 3.0], "x")
+        got = ann.Index(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")).search(every=20, k=10).collect()
+        want = [i for i in range(0, 300, 20) if i != odd]
+        assert sorted(r["query_id"] for r in got) == [i for i in want for _ in range(10)] and odd not in {r["vec_id"] for r in got}
+
+
+def test_ann_blocks(spark):
+    """Any number of blocks of queries gives the same rows; a query may lie outside the index."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(500, 6)))], "vec_id long, embedding array<double>")
+    index = ann.Index(df)
+    one, many = (sorted(index.search(every=3, k=4, block=b).collect()) for b in (1024, 7))
+    assert one == many and len(one) == 167 * 4
+    far = spark.createDataFrame([(-5, [0.0, 0.0, 1.0, 0.0, 0.0, 0.0]), (-6, [1.0, 2.0])], "vec_id long, vector array<double>")
+    assert [r["query_id"] for r in index.search(far, k=3).collect()] == [-5] * 3
+
+
+def test_ann_recall_on_embeddings(spark):
+    sf = "/root/testdata/sf0.1"
+    if not Path(sf).exists():
+        pytest.skip("no test tables")
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    got = ann.Index(df).search(every=100, k=10).collect()
+    rows = sorted((r["vec_id"], r["embedding"]) for r in df.collect() if r["embedding"] is not None)
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    hits = want = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        near = set(ids[np.lexsort((ids, d))[:10]].tolist())
+        want += len(near)
+        hits += len(near & {r["vec_id"] for r in got if r["query_id"] == ids[q]})
+    assert hits >= 0.9 * want and want
+
+
 def test_substring(spark, docs, plain):
     got = by_id(substring.dedup(docs, digests=True))
     for i, (n, gone, kept) in brute.repeats(plain).items():
