@@ -28,7 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen or not state[0]:
             break
-        seen = state
+        seen, old = state, now
         now = _store.cut(_star(_star(now, True), False), "edges")
+        _store.drop(old)
     roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+    out._codeloom_path = now._codeloom_path  # so that _store.drop deletes what it reads
+    return out

@@ -35,13 +35,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, folder(df.sparkSession, name)
     df.write.parquet(path)
     spark._jvm.System.gc()  # lets Spark's cleaner delete shuffle files that nothing refers to any more
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a table under root() that nothing will read again."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._codeloom_path = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes what cut() wrote, of tables that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_codeloom_path", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def arrow(spark: SparkSession) -> None:

@@ -1,20 +1,26 @@
 """Near duplicates by an LSH forest over MinHash signatures.
 
 Each document's set of word shingles gets TREES signatures of DEPTH lanes. For each tree, all signatures
-are sorted, across the cluster, and a document's candidates are the neighbours within REACH places
-that share LEAST lanes or more as a prefix. Where a region is sparse, that takes in all who share
-LEAST lanes; where it is dense, the neighbours are those with the longest common prefixes, so the
-depth follows the region and the number of candidates grows with the documents, whatever the
-sizes of the groups. Candidates must also agree in enough short lanes, and are then confirmed on
+are sorted, across the cluster, and a document's first candidates are the neighbours within REACH places
+that share LEAST lanes or more as a prefix. Where a region (the rows of a tree with the same first LEAST lanes)
+is sparse, that is everyone in it; where it is dense, it is those with the longest common prefixes, so the
+depth follows the region. Candidates must also agree in enough short lanes, and are then confirmed on
 the full sets of 64-bit shingle hashes.
 
+A dense region whose rows are one component needs no more. In one that holds several, rows outside its largest
+component then meet every row of the region, in blocks of bounded size (so do regions that lie on the edge of two partitions, whose
+neighbours were parted). So a pair of linked documents is missed only if they share no region of the later trees, or
+agree in too few lanes: at similarity 0.8 about one in ten million, and fewer above it.
+
 Equal sets are first folded into one row by a partial aggregate. A few trees come first; of their
-candidates, each document's most alike are confirmed, and their components found. The other trees then
-pass over neighbours that are already connected, so a large group of copies yields few more pairs. Links
-and components stay in tables.
+candidates, each document's most alike are confirmed, and their components found. The later steps then
+pass over pairs that are already connected, so a large group of copies yields few more pairs. Links
+and components stay in tables, which are deleted once nothing reads them.
 
 Null, empty and blank texts have no shingles, and link with nothing. Rows with a null doc_id take no
-part and have a null component. Rows that repeat a doc_id share its component.
+part and have a null component. Rows that repeat a doc_id have the component of their own text, and if their texts differ,
+links of that doc_id are confirmed on the set that sorts first. Other columns are not carried. A text
+of any length is a set of its own, held whole by one worker. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +42,8 @@ TREES, DEPTH, LEAST, REACH = 32, 8, 3, 8
 SHORT, AGREE = 48, 24
 #: Candidates of a document that are confirmed first, and trees that propose them.
 FIRST, EARLY = 3, 8
+#: Of all lanes, how many must agree in a dense region: over five standard deviations below similarity 0.8. Rows of a block there.
+FULL, BLOCK = 170, 1024
 
 _rng = np.random.default_rng(7919)
 _FLIP = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
@@ -128,11 +137,58 @@ def _number(e: np.ndarray, at: int) -> np.ndarray:
     return e[:, at : (at + 8) or None].copy().view(">i8").ravel().astype(np.int64)
 
 
+class _Regions:
+    """Rows by region and root, of sorted entries that come batch by batch. Regions that end inside a batch and hold REACH + 1 rows at most are passed over, as their rows are all neighbours."""
+
+    def __init__(self, reach: int):
+        self.reach, self.first = reach, True
+        self.held: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, e: np.ndarray, roots: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """(region, root, n, edge) so far; the last region of a batch waits, as it may be the last of the partition."""
+        done = self.held
+        region = np.zeros((len(e), 8), np.uint8)
+        region[:, 1:] = e[:, : 1 + 2 * LEAST]
+        region = region.view(">i8").ravel().astype(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
+        sizes = np.diff(np.append(starts, len(e)))
+        told = sizes > self.reach + 1
+        told[[0, -1]] = True
+        rows = np.repeat(told, sizes)
+        pairs, n = np.unique(np.stack([region[rows], roots[rows]]), axis=1, return_counts=True)
+        last = pairs[0] == region[-1]
+        edge = (pairs[0] == region[0]) if self.first else np.zeros(len(n), bool)
+        self.first = False
+        done.append((pairs[0][~last], pairs[1][~last], n[~last], edge[~last]))
+        self.held = [(pairs[0][last], pairs[1][last], n[last], edge[last])]
+        return done
+
+    def end(self) -> list[tuple[np.ndarray, ...]]:
+        return [(*x, np.ones(len(x[0]), bool)) for *x, _ in self.held]
+
+
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32()), ("region", pa.int64()), ("root", pa.int64()), ("rows", pa.int64()), ("edge", pa.bool_())])
+
+
 def _neighbours(reach: int):
-    """Pairs of ids (a < b) of different roots with the number of short lanes that agree, of sorted entries. The last `reach` rows of a batch are looked at again with the next."""
+    """Pairs of ids (a < b) of different roots with the number of short lanes that agree, of sorted entries, and with a null a the regions that neighbours don't cover. The last `reach` rows of a batch are looked at again with the next."""
+
+    def batch_of(pairs: list, regions: list) -> pa.RecordBatch:
+        a, b, n = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
+        g, r, m, edge = (np.concatenate(x) for x in zip(*regions, strict=True)) if regions else (np.zeros(0, np.int64),) * 4
+        none = lambda k, t: pa.nulls(k, t)
+        columns = [
+            pa.concat_arrays([pa.array(x.astype(d), t), none(len(g), t)])
+            for x, d, t in ((a, np.int64, pa.int64()), (b, np.int64, pa.int64()), (n, np.int32, pa.int32()))
+        ] + [
+            pa.concat_arrays([none(len(a), t), pa.array(x.astype(d), t)])
+            for x, d, t in ((g, np.int64, pa.int64()), (r, np.int64, pa.int64()), (m, np.int64, pa.int64()), (edge, bool, pa.bool_()))
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=_FOUND)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.zeros((0, _ENTRY), np.uint8)
+        regions = _Regions(reach)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -152,18 +208,83 @@ def _neighbours(reach: int):
                 i, agree = i[agree >= AGREE], agree[agree >= AGREE]
                 found.append((np.minimum(ids[i], ids[i + s]), np.maximum(ids[i], ids[i + s]), agree))
             tail = e[-reach:]
-            if found:
-                a, b, n = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int32))], ["a", "b", "agree"])
+            yield batch_of(found, regions.add(e[fresh:], roots[fresh:]))
+        yield batch_of([], regions.end())
 
     return neighbours
 
 
-def _candidates(reps: DataFrame, trees: range, reach: int) -> DataFrame:
-    """(a, b, agree), distinct, that the trees propose for reps (rep, n, sig, root)."""
+def _proposed(reps: DataFrame, trees: range, reach: int, name: str) -> DataFrame:
+    """What the trees give for reps (rep, n, sig, root): pairs and regions, as _neighbours says."""
     entries = reps.select("rep", "n", "sig", "root").mapInArrow(_plant(trees), "entry binary")
-    raw = entries.repartitionByRange("entry").sortWithinPartitions("entry").mapInArrow(_neighbours(reach), "a long, b long, agree int")
-    return raw.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return _store.cut(entries.repartitionByRange("entry").sortWithinPartitions("entry").mapInArrow(_neighbours(reach), "a long, b long, agree int, region long, root long, rows long, edge boolean"), name)
+
+
+def _pairs(proposed: DataFrame) -> DataFrame:
+    return proposed.where(F.col("a").isNotNull()).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+
+
+def _regions_of(trees: range):
+    """(rep, root, regions): the region of each tree that a row lies in."""
+
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            out = np.zeros((batch.num_rows, len(trees), 8), np.uint8)
+            for i, t in enumerate(trees):
+                out[:, i, 1] = t
+                out[:, i, 2:] = sig[:, 2 * t * DEPTH : 2 * t * DEPTH + 2 * LEAST]
+            flat = pa.array(out.view(">i8").ravel().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(trees)), flat)], ["rep", "root", "regions"])
+
+    return regions
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Rows of one block against rows of another: pairs (a < b) of different roots, of sizes that a link allows, that agree in FULL lanes or more."""
+    left = table.filter(table.column("left"))
+    right = table.filter(pc.invert(table.column("left")))
+    out: list[list[np.ndarray]] = [[], [], []]
+    if left.num_rows and right.num_rows:
+        number = lambda t, c: t.column(c).to_numpy()
+        lanes = lambda t: np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)[:, 1 : 2 * TREES * DEPTH : 2]
+        x, y = lanes(left), lanes(right)
+        ids, roots, sizes = number(left, "rep"), number(left, "root"), number(left, "n")
+        for i, (rep, root, n) in enumerate(zip(number(right, "rep").tolist(), number(right, "root").tolist(), number(right, "n").tolist(), strict=True)):
+            near = np.flatnonzero((roots != root) & (100 * np.minimum(sizes, n) >= 80 * np.maximum(sizes, n)))
+            agree = (x[near] == y[i]).sum(axis=1)
+            near, agree = near[agree >= FULL], agree[agree >= FULL]
+            for o, v in zip(out, (np.minimum(ids[near], rep), np.maximum(ids[near], rep), agree), strict=True):
+                o.append(v)
+    a, b, n = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in out)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "agree": pa.array(n.astype(np.int32))})
+
+
+def _dense(reps: DataFrame, regions: DataFrame, roots: DataFrame, trees: range, block: int = BLOCK) -> DataFrame | None:
+    """(a, b, agree) of pairs of different roots in the regions that neighbours don't cover; None if there is no such region.
+
+    regions has (region, root, rows, edge) with the roots of the trees' time, reps (rep, n, sig), and roots
+    (rep, root) the present ones. Rows outside a region's largest root meet all its rows: these lie in `every` blocks, those in
+    `few`, and a block of each kind meets in one task.
+    """
+    now = roots.select(F.col("rep").alias("root"), F.col("root").alias("top"))
+    by_root = regions.join(now, "root").groupBy("region", "top").agg(F.sum("rows").alias("rows"), F.max("edge").alias("edge"))
+    by_region = by_root.groupBy("region").agg(F.sum("rows").alias("rows"), F.max("edge").alias("edge"), F.count("*").alias("roots"), F.max(F.struct("rows", "top")).alias("most"))
+    open_regions = by_region.where((F.col("roots") > 1) & (F.col("edge") | (F.col("rows") > REACH + 1)))
+    few = F.ceil((F.col("rows") - F.col("most.rows")) / block).cast("int")
+    open_regions = _store.cut(open_regions.select("region", F.col("most.top").alias("largest"), F.ceil(F.col("rows") / block).cast("int").alias("every"), few.alias("few")), "regions")
+    if open_regions.isEmpty():
+        _store.drop(open_regions)
+        return None
+    signed = reps.join(roots, "rep").select("rep", "root", "sig").mapInArrow(_regions_of(trees), "rep long, root long, regions array<long>")
+    members = signed.select("rep", "root", F.explode("regions").alias("region")).join(open_regions, "region").join(reps.select("rep", "n", "sig"), "rep")
+    members = _store.cut(members.withColumn("i", F.pmod(F.xxhash64("rep"), "every")).withColumn("j", F.pmod(F.xxhash64("rep", F.lit(1)), "few")), "members")
+    left = members.select("region", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few").cast("long") - 1)).alias("j"), "rep", "root", "n", "sig", F.lit(True).alias("left"))
+    right = members.where(F.col("root") != F.col("largest")).select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("every").cast("long") - 1)).alias("i"), "j", "rep", "root", "n", "sig", F.lit(False).alias("left"))
+    met = left.unionByName(right).groupBy("region", "i", "j").applyInArrow(_meet, "a long, b long, agree int")
+    out = _store.cut(met.groupBy("a", "b").agg(F.max("agree").alias("agree")), "dense-pairs")
+    _store.drop(open_regions, members)
+    return out
 
 
 def _sets(size: int):
@@ -184,39 +305,74 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
-    return pairs.join(left, "a").join(right, "b").withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select(pairs.columns)
 
 
 def _gathered(plain: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """(id, shingles) of the documents in pairs, as a table. Their texts cross the network once, without a sort: the list of ids is the side that is hashed."""
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     needed = plain.join(ends.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi")
-    return _store.cut(needed.mapInArrow(_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
+    return _store.cut(needed.mapInArrow(_sets(shingle), "id long, shingles array<long>").groupBy("id").agg(F.min("shingles").alias("shingles")), "shingles")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of (a, b, agree), the FIRST most alike of each document."""
+    either = pairs.select(F.col("a").alias("me"), "a", "b", "agree").union(pairs.select(F.col("b").alias("me"), "a", "b", "agree"))
+    best = either.withColumn("place", F.row_number().over(Window.partitionBy("me").orderBy(F.desc("agree"), "a", "b"))).where(F.col("place") <= FIRST)
+    return best.select("a", "b").distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b, agree, a_root, b_root) of pairs whose roots (rep, root) differ."""
+    of = lambda side: roots.select(F.col("rep").alias(side), F.col("root").alias(f"{side}_root"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(F.col("a_root") != F.col("b_root"))
+
+
+def _joined(plain: DataFrame, pairs: DataFrame, roots: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """roots after the links among pairs (a, b) of different roots; a table."""
+    asked = _store.cut(_apart(pairs.select("a", "b"), roots), "asked")
+    if asked.isEmpty():
+        _store.drop(asked)
+        return roots
+    sets = _gathered(plain, asked, shingle)
+    links = _store.cut(_confirmed(asked, sets, percent).select(F.col("a_root").alias("u"), F.col("b_root").alias("v")), "links")
+    _store.drop(sets)
+    met = components(links)
+    found = met.select(F.col("node").alias("root"), F.col("component").alias("top"))
+    out = _store.cut(roots.join(found, "root", "left").select("rep", F.coalesce("top", "root").alias("root")), "roots")
+    _store.drop(asked, links, met, roots)
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row of docs (doc_id long, text). Two documents are linked if their sets of `shingle`-word shingles have a Jaccard similarity of `percent` or more (80 or more, which LEAST and AGREE are made for)."""
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row of docs (doc_id long, text). Two documents are linked if their sets of `shingle`-word shingles have a Jaccard similarity of `percent` or more (80 or more, which LEAST, AGREE and FULL are made for)."""
     if percent < 80:
         raise ValueError("the forest is tuned for similarities of 0.8 or more")
     spark = docs.sparkSession
     _store.arrow(spark)
+    early, late = range(EARLY), range(EARLY, TREES)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    base = _store.cut(plain.mapInArrow(_sign(shingle), "doc_id long, n long, key binary, sig binary"), "signatures")
-    reps = _store.cut(base.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("key", "n", "sig").agg(F.min("doc_id").alias("rep")), "sets")
-    pairs = _store.cut(_candidates(reps.withColumn("root", F.col("rep")), range(EARLY), REACH), "pairs")
-    either = pairs.select(F.col("a").alias("me"), "a", "b", "agree").union(pairs.select(F.col("b").alias("me"), "a", "b", "agree"))
-    best = either.withColumn("place", F.row_number().over(Window.partitionBy("me").orderBy(F.desc("agree"), "a", "b"))).where(F.col("place") <= FIRST)
-    first = _store.cut(best.select("a", "b").distinct(), "first-pairs")
-    links = _confirmed(first, _gathered(plain, first, shingle), percent)
-    once = _store.cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
-    rooted = _store.cut(reps.join(once, F.col("rep") == F.col("node"), "left").select("rep", "key", "n", "sig", F.coalesce("component", "rep").alias("root")), "rooted")
-    root = lambda side: once.select(F.col("node").alias(side), F.col("component").alias(f"{side}_root"))
-    apart = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    apart = apart.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    rest = _store.cut(apart.union(_candidates(rooted, range(EARLY, TREES), REACH).select("a", "b")).distinct(), "apart")
-    more = _confirmed(rest, _gathered(plain, rest, shingle), percent).join(root("a"), "a", "left").join(root("b"), "b", "left")
-    twice = components(more.select(F.coalesce("a_root", "a").alias("u"), F.coalesce("b_root", "b").alias("v"))).select(F.col("node").alias("root"), F.col("component").alias("top"))
-    by_set = rooted.select("key", "root").join(twice, "root", "left").select("key", F.coalesce("top", "root").alias("component_id"))
+    signed = _store.cut(plain.mapInArrow(_sign(shingle), "doc_id long, n long, key binary, sig binary"), "signatures")
+    base = _store.cut(signed.select("doc_id", "n", "key"), "keys")
+    reps = _store.cut(signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("key", "n", "sig").agg(F.min("doc_id").alias("rep")), "sets")
+    _store.drop(signed)
+    roots = _store.cut(reps.select("rep", F.col("rep").alias("root")).distinct(), "roots")
+    proposed = _proposed(reps.withColumn("root", F.col("rep")), early, REACH, "early")
+    pairs = _store.cut(_pairs(proposed), "pairs")
+    _store.drop(proposed)
+    roots = _joined(plain, _best(pairs), roots, shingle, percent)
+    proposed = _proposed(reps.join(roots, "rep"), late, REACH, "late")
+    every = _store.cut(_apart(pairs.select("a", "b").union(_pairs(proposed).select("a", "b")).distinct(), roots).select("a", "b"), "apart")
+    _store.drop(pairs)
+    roots = _joined(plain, every, roots, shingle, percent)
+    _store.drop(every)
+    crowded = _dense(reps, proposed.where(F.col("a").isNull()).select("region", "root", "rows", "edge"), roots, late)
+    _store.drop(proposed)
+    if crowded is not None:
+        roots = _joined(plain, _best(crowded), roots, shingle, percent)
+        roots = _joined(plain, crowded, roots, shingle, percent)
+        _store.drop(crowded)
+    by_set = reps.select("key", "rep").join(roots, "rep").select("key", F.col("root").alias("component_id"))
     # A set that a third of all documents have makes this join's left side uneven; AQE splits it.
     out = base.select("doc_id", F.col("n").alias("n_shingles"), "key").join(by_set, "key", "left")
     own = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()

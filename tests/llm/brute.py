@@ -112,3 +112,25 @@ def near(docs, size=2):
                     x, y = sorted((top(a), top(b)))
                     up[y] = x
     return {d: (len(sets[d]), top(d)) for d in docs}
+
+
+def near_fast(docs, size=2):
+    """doc_id -> component_id as near(), by counting shared shingles with a matrix product."""
+    import numpy as np
+
+    ids = sorted(docs)
+    sets = [shingles(docs[d], size) for d in ids]
+    place = {x: i for i, x in enumerate({x for s in sets for x in s})}
+    m = np.zeros((len(ids), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [place[x] for x in s]] = 1
+    both = np.rint(m @ m.T)
+    n = m.sum(axis=1)
+    linked = (100 * both >= 80 * (n[:, None] + n[None] - both)) & (n > 0)[:, None] & (n > 0)[None]
+    top = np.arange(len(ids))
+    while True:
+        new = np.where(linked, top[None, :], len(ids)).min(axis=1)
+        new = np.minimum(top, new)
+        if (new == top).all():
+            return {d: ids[t] for d, t in zip(ids, top, strict=True)}
+        top = new

@@ -231,6 +231,28 @@ def test_neardup(spark, docs, plain, size):
         assert (got[i]["n_shingles"], got[i]["component_id"]) == (n, top)
 
 
+def test_neardup_in_a_dense_region(spark):
+    """Texts around one base, at similarities near the threshold: components equal those of all pairs, whatever the partitions."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for _ in range(1500):
+        w = list(base)
+        for k in rng.sample(range(120), rng.randint(4, 12)):
+            w[k] = f"x{rng.randint(0, 10**6)}"
+        rows.append(" ".join(w))
+    want = brute.near_fast(dict(enumerate(rows)), 2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in (3, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            got = {i: r["component_id"] for i, r in by_id(neardup.near_duplicates(frame(spark, rows), 2)).items()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 20 < len(set(want.values())) < 1400
+
+
 def test_neardup_lanes_of_a_long_text():
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(f"w{i}" for i in range(300_000))])], ["doc_id", "text"])
     out = next(neardup._sign(2)(iter([batch])))
