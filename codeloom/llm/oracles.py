@@ -64,4 +64,14 @@ a AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM
 k AS (SELECT a.doc_id, count(r.j) AS n_removed, string_agg(word, ' ' ORDER BY a.j) FILTER (WHERE r.j IS NULL) AS kept FROM a LEFT JOIN r ON r.doc_id = a.doc_id AND r.j = a.j GROUP BY 1)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
 
-ORACLES: dict[str, str] = {"op2_pii": _PII, "op3_secrets": _SECRETS, "op4_decontaminate": _DECONTAMINATE, "op6_substring": _SUBSTRING}
+_NEARDUP = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END)) AS sh FROM w),
+g AS (SELECT min(doc_id) AS rep, sh FROM s WHERE len(sh) > 0 GROUP BY sh),
+l AS (SELECT rep, len(sh) AS n, unnest(sh) AS x FROM g),
+p AS (SELECT a.rep AS a, b.rep AS b FROM l a JOIN l b ON a.x = b.x AND a.rep < b.rep AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT rep AS node, rep AS top FROM g UNION SELECT e.b, r.top FROM r JOIN e ON e.a = r.node WHERE r.top < e.b),
+c AS (SELECT node, min(top) AS top FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(c.top, s.doc_id) AS component_id, coalesce(c.top, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN g ON g.sh = s.sh LEFT JOIN c ON c.node = g.rep"""
+
+ORACLES: dict[str, str] = {"op2_pii": _PII, "op3_secrets": _SECRETS, "op4_decontaminate": _DECONTAMINATE, "op6_substring": _SUBSTRING, "op7_neardup": _NEARDUP}

@@ -71,10 +71,14 @@ def lower(text):
     return re.sub("[A-Z]", lambda m: m.group().lower(), text)
 
 
-def repeats(docs, window=13):
-    """doc_id -> (n_words, n_removed, kept words), of {doc_id: text}."""
-    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in docs.items()}
+def repeats(docs, window=13, before=()):
+    """doc_id -> (n_words, n_removed, kept words), of {doc_id: text}; texts in `before` come earlier than all."""
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    words = {d: split(t) for d, t in docs.items()}
     first = {}
+    for own in map(split, before):
+        for i in range(len(own) - window + 1):
+            first[tuple(own[i : i + window])] = -1
     for d in sorted(words):
         for i in range(len(words[d]) - window + 1):
             first.setdefault(tuple(words[d][i : i + window]), d)

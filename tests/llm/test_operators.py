@@ -215,15 +215,36 @@ def test_substring(spark, docs, plain):
 
 
 def test_substring_in_batches(spark, docs, plain, tmp_path):
-    index = substring.FingerprintIndex(spark, str(tmp_path / "index"), group=4000)
-    got = {}
-    for low, high in ((0, 30), (30, 60), (60, 1000)):
-        got |= by_id(index.add(docs.where((docs.doc_id >= low) & (docs.doc_id < high))))
-    for i, (n, gone, kept) in brute.repeats(plain).items():
+    """Batches whose ids are out of order, each by an index opened anew; compaction happens on the way, and splits grow."""
+    at, got, want, before = str(tmp_path / "index"), {}, {}, {}
+    ranges = [(30, 60), (0, 20), (60, 1000), (20, 25), (25, 30)]
+    for n, (low, high) in enumerate(ranges):
+        part = docs.where((docs.doc_id >= low) & (docs.doc_id < high))
+        index = substring.FingerprintIndex(spark, at, group=4000, bits=8 + n, fan=2)
+        rows = {i: t for i, t in plain.items() if low <= i < high}
+        got |= by_id(index.add(part, batch=f"b{n}"))
+        want |= brute.repeats(rows, before=before.values())
+        before |= rows
+    for i, (n, gone, kept) in want.items():
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["text"]) == (n, gone, kept)
+    state = substring.FingerprintIndex(spark, at).state()
+    assert len(state["batches"]) == 5 and max(r["tier"] for r in state["runs"]) >= 2 and len(state["runs"]) < 4
+    # A batch that is named again gets the same answer, and the index stays as it is.
+    again = by_id(substring.FingerprintIndex(spark, at).add(docs.where(docs.doc_id.between(0, 19)), batch="b1"))
+    assert all(again[i]["text"] == want[i][2] for i in range(20)) and substring.FingerprintIndex(spark, at).state() == state
+    with pytest.raises(ValueError):
+        substring.FingerprintIndex(spark, at, window=5)
     assert substring.dedup(docs.limit(0)).count() == 0
 
 
+def test_substring_repeated_ids(spark):
+    body = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, body), (None, body + " tail"), (5, body), (5, body), (5, "head " + body), (9, body), (None, None)] + [(7, body)] * 40
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_words string")
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"]) for r in substring.dedup(df, batches=2).collect())
+    assert got == sorted([(-1, 30, 0), (-1, 31, 0), (-1, 0, 0), (5, 30, 30), (5, 30, 30), (5, 31, 30), (9, 30, 30), *[(7, 30, 30)] * 40])
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_neardup(spark, docs, plain, size):
     got = by_id(neardup.near_duplicates(docs, size))
