@@ -8,8 +8,9 @@ depth follows the region. Candidates must also agree in enough short lanes, and
 the full sets of 64-bit shingle hashes.
 
 A dense region whose rows are one component needs no more. In one that holds several, rows outside its largest
-component then meet every row of the region, in blocks of bounded size (so do regions that lie on the edge of two partitions, whose
-neighbours were parted). So a pair of linked documents is missed only if they share no region of the later trees, or
+component then meet every row of the region, with their full sets, in blocks of bounded size (so do regions that lie on the edge of two partitions, whose
+neighbours were parted). A pair meets in the first tree where it shares a region, and a block gives only links that join
+components, not all its pairs. So a pair of linked documents is missed only if they share no region of the later trees, or
 agree in too few lanes: at similarity 0.8 about one in ten million, and fewer above it.
 
 Equal sets are first folded into one row by a partial aggregate. A few trees come first; of their
@@ -42,8 +43,8 @@ TREES, DEPTH, LEAST, REACH = 32, 8, 3, 8
 SHORT, AGREE = 48, 24
 #: Candidates of a document that are confirmed first, and trees that propose them.
 FIRST, EARLY = 3, 8
-#: Of all lanes, how many must agree in a dense region: over five standard deviations below similarity 0.8. Rows of a block there.
-FULL, BLOCK = 170, 1024
+#: Of all lanes, how many must agree in a dense region: over five standard deviations below similarity 0.8. Rows, and bytes of sets, of a block there.
+FULL, BLOCK, BYTES = 170, 1024, 8 << 20
 
 _rng = np.random.default_rng(7919)
 _FLIP = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
@@ -144,8 +145,8 @@ class _Regions:
         self.reach, self.first = reach, True
         self.held: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, e: np.ndarray, roots: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-        """(region, root, n, edge) so far; the last region of a batch waits, as it may be the last of the partition."""
+    def add(self, e: np.ndarray, roots: np.ndarray, sizes_of: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """(region, root, rows, shingles, edge) so far; the last region of a batch waits, as it may be the last of the partition."""
         done = self.held
         region = np.zeros((len(e), 8), np.uint8)
         region[:, 1:] = e[:, : 1 + 2 * LEAST]
@@ -155,19 +156,20 @@ class _Regions:
         told = sizes > self.reach + 1
         told[[0, -1]] = True
         rows = np.repeat(told, sizes)
-        pairs, n = np.unique(np.stack([region[rows], roots[rows]]), axis=1, return_counts=True)
+        pairs, which, n = np.unique(np.stack([region[rows], roots[rows]]), axis=1, return_inverse=True, return_counts=True)
+        shingles = np.bincount(which.ravel(), sizes_of[rows], len(n)).astype(np.int64)
         last = pairs[0] == region[-1]
         edge = (pairs[0] == region[0]) if self.first else np.zeros(len(n), bool)
         self.first = False
-        done.append((pairs[0][~last], pairs[1][~last], n[~last], edge[~last]))
-        self.held = [(pairs[0][last], pairs[1][last], n[last], edge[last])]
+        done.append((pairs[0][~last], pairs[1][~last], n[~last], shingles[~last], edge[~last]))
+        self.held = [(pairs[0][last], pairs[1][last], n[last], shingles[last], edge[last])]
         return done
 
     def end(self) -> list[tuple[np.ndarray, ...]]:
         return [(*x, np.ones(len(x[0]), bool)) for *x, _ in self.held]
 
 
-_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32()), ("region", pa.int64()), ("root", pa.int64()), ("rows", pa.int64()), ("edge", pa.bool_())])
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32()), ("region", pa.int64()), ("root", pa.int64()), ("rows", pa.int64()), ("shingles", pa.int64()), ("edge", pa.bool_())])
 
 
 def _neighbours(reach: int):
@@ -175,14 +177,14 @@ def _neighbours(reach: int):
 
     def batch_of(pairs: list, regions: list) -> pa.RecordBatch:
         a, b, n = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
-        g, r, m, edge = (np.concatenate(x) for x in zip(*regions, strict=True)) if regions else (np.zeros(0, np.int64),) * 4
+        g, r, m, k, edge = (np.concatenate(x) for x in zip(*regions, strict=True)) if regions else (np.zeros(0, np.int64),) * 5
         none = lambda k, t: pa.nulls(k, t)
         columns = [
             pa.concat_arrays([pa.array(x.astype(d), t), none(len(g), t)])
             for x, d, t in ((a, np.int64, pa.int64()), (b, np.int64, pa.int64()), (n, np.int32, pa.int32()))
         ] + [
             pa.concat_arrays([none(len(a), t), pa.array(x.astype(d), t)])
-            for x, d, t in ((g, np.int64, pa.int64()), (r, np.int64, pa.int64()), (m, np.int64, pa.int64()), (edge, bool, pa.bool_()))
+            for x, d, t in ((g, np.int64, pa.int64()), (r, np.int64, pa.int64()), (m, np.int64, pa.int64()), (k, np.int64, pa.int64()), (edge, bool, pa.bool_()))
         ]
         return pa.RecordBatch.from_arrays(columns, schema=_FOUND)
 
@@ -208,7 +210,7 @@ def _neighbours(reach: int):
                 i, agree = i[agree >= AGREE], agree[agree >= AGREE]
                 found.append((np.minimum(ids[i], ids[i + s]), np.maximum(ids[i], ids[i + s]), agree))
             tail = e[-reach:]
-            yield batch_of(found, regions.add(e[fresh:], roots[fresh:]))
+            yield batch_of(found, regions.add(e[fresh:], roots[fresh:], sizes[fresh:]))
         yield batch_of([], regions.end())
 
     return neighbours
@@ -217,7 +219,7 @@ def _neighbours(reach: int):
 def _proposed(reps: DataFrame, trees: range, reach: int, name: str) -> DataFrame:
     """What the trees give for reps (rep, n, sig, root): pairs and regions, as _neighbours says."""
     entries = reps.select("rep", "n", "sig", "root").mapInArrow(_plant(trees), "entry binary")
-    return _store.cut(entries.repartitionByRange("entry").sortWithinPartitions("entry").mapInArrow(_neighbours(reach), "a long, b long, agree int, region long, root long, rows long, edge boolean"), name)
+    return _store.cut(entries.repartitionByRange("entry").sortWithinPartitions("entry").mapInArrow(_neighbours(reach), "a long, b long, agree int, region long, root long, rows long, shingles long, edge boolean"), name)
 
 
 def _pairs(proposed: DataFrame) -> DataFrame:
@@ -240,51 +242,83 @@ def _regions_of(trees: range):
     return regions
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Rows of one block against rows of another: pairs (a < b) of different roots, of sizes that a link allows, that agree in FULL lanes or more."""
-    left = table.filter(table.column("left"))
-    right = table.filter(pc.invert(table.column("left")))
-    out: list[list[np.ndarray]] = [[], [], []]
-    if left.num_rows and right.num_rows:
-        number = lambda t, c: t.column(c).to_numpy()
-        lanes = lambda t: np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)[:, 1 : 2 * TREES * DEPTH : 2]
-        x, y = lanes(left), lanes(right)
-        ids, roots, sizes = number(left, "rep"), number(left, "root"), number(left, "n")
-        for i, (rep, root, n) in enumerate(zip(number(right, "rep").tolist(), number(right, "root").tolist(), number(right, "n").tolist(), strict=True)):
-            near = np.flatnonzero((roots != root) & (100 * np.minimum(sizes, n) >= 80 * np.maximum(sizes, n)))
-            agree = (x[near] == y[i]).sum(axis=1)
-            near, agree = near[agree >= FULL], agree[agree >= FULL]
-            for o, v in zip(out, (np.minimum(ids[near], rep), np.maximum(ids[near], rep), agree), strict=True):
-                o.append(v)
-    a, b, n = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in out)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "agree": pa.array(n.astype(np.int32))})
-
-
-def _dense(reps: DataFrame, regions: DataFrame, roots: DataFrame, trees: range, block: int = BLOCK) -> DataFrame | None:
-    """(a, b, agree) of pairs of different roots in the regions that neighbours don't cover; None if there is no such region.
-
-    regions has (region, root, rows, edge) with the roots of the trees' time, reps (rep, n, sig), and roots
-    (rep, root) the present ones. Rows outside a region's largest root meet all its rows: these lie in `every` blocks, those in
-    `few`, and a block of each kind meets in one task.
+_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _meet(percent: int, first: int):
+    """Rows of one block against rows of another: links (u, v) of roots, at most one fewer than there are roots.
+
+    A pair is looked at in its first shared tree, from `first` on: in an earlier one its rows were neighbours, or met there, or had one root.
+    """
+
+    def meet(table: pa.Table) -> pa.Table:
+        side = table.column("left")
+        left, right = table.filter(side), table.filter(pc.invert(side))
+        links: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            number = lambda t, c: t.column(c).to_numpy()
+            lanes = lambda t: np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)[:, : 2 * TREES * DEPTH]
+            (x, y), tree = (lanes(left), lanes(right)), int(table.column("region")[0].as_py() >> 48)
+            heads = [z.reshape(len(z), TREES, 2 * DEPTH)[:, first:tree, : 2 * LEAST] for z in (x, y)]
+            low = [np.ascontiguousarray(z[:, 1::2]) for z in (x, y)]
+            sizes, own_sizes = number(left, "n"), number(right, "n").tolist()
+            flat = left.column("set").combine_chunks()
+            flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
+            values, bounds = flat.flatten().to_numpy(), np.concatenate(([0], np.cumsum(pc.list_value_length(flat).to_numpy())))
+            names, classes = np.unique(np.concatenate((number(left, "root"), number(right, "root"))), return_inverse=True)
+            now, own = classes[: len(x)].copy(), classes[len(x) :].copy()
+            sets = right.column("set")
+            for i, n in enumerate(own_sizes):
+                near = np.flatnonzero((now != own[i]) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                near = near[(low[0][near] == low[1][i]).sum(axis=1) >= FULL]
+                if len(near) and tree > first:
+                    near = near[~(heads[0][near] == heads[1][i]).all(axis=2).any(axis=1)]
+                mine = np.sort(sets[i].values.to_numpy()) if len(near) else None
+                for part in np.array_split(near, -(-len(near) // 256)) if len(near) else ():
+                    every = np.concatenate([values[bounds[j] : bounds[j + 1]] for j in part])
+                    at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+                    both = np.add.reduceat(mine[at] == every, np.concatenate(([0], np.cumsum(np.diff(bounds)[part])[:-1])), dtype=np.int64)
+                    for j in part[100 * both >= percent * (sizes[part] + n - both)].tolist():
+                        if now[j] != own[i]:
+                            u, v = int(names[now[j]]), int(names[own[i]])
+                            links.append((max(u, v), min(u, v)))
+                            old, new = now[j], own[i]
+                            now[now == old] = new
+                            own[own == old] = new
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())}, schema=_LINKS)
+
+    return meet
+
+
+def _dense(plain: DataFrame, reps: DataFrame, regions: DataFrame, roots: DataFrame, trees: range, shingle: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """roots (rep, root) after the links in regions that neighbours don't cover.
+
+    regions has (region, root, rows, shingles, edge) with the roots of the trees' time, reps (rep, n, sig). Rows outside a region's largest root
+    meet all its rows: these lie in `every` blocks, those in `few`, and a block of each kind meets in one task.
     """
     now = roots.select(F.col("rep").alias("root"), F.col("root").alias("top"))
-    by_root = regions.join(now, "root").groupBy("region", "top").agg(F.sum("rows").alias("rows"), F.max("edge").alias("edge"))
-    by_region = by_root.groupBy("region").agg(F.sum("rows").alias("rows"), F.max("edge").alias("edge"), F.count("*").alias("roots"), F.max(F.struct("rows", "top")).alias("most"))
+    by_root = regions.join(now, "root").groupBy("region", "top").agg(F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.max("edge").alias("edge"))
+    by_region = by_root.groupBy("region").agg(F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.max("edge").alias("edge"), F.count("*").alias("roots"), F.max(F.struct("rows", "shingles", "top")).alias("most"))
     open_regions = by_region.where((F.col("roots") > 1) & (F.col("edge") | (F.col("rows") > REACH + 1)))
-    few = F.ceil((F.col("rows") - F.col("most.rows")) / block).cast("int")
-    open_regions = _store.cut(open_regions.select("region", F.col("most.top").alias("largest"), F.ceil(F.col("rows") / block).cast("int").alias("every"), few.alias("few")), "regions")
+    blocks = lambda rows, shingles: F.ceil(F.greatest(rows / block, shingles * 8 / BYTES)).cast("long")
+    every, few = blocks(F.col("rows"), F.col("shingles")), blocks(F.col("rows") - F.col("most.rows"), F.col("shingles") - F.col("most.shingles"))
+    open_regions = _store.cut(open_regions.select("region", F.col("most.top").alias("largest"), every.alias("every"), few.alias("few")), "regions")
     if open_regions.isEmpty():
         _store.drop(open_regions)
-        return None
-    signed = reps.join(roots, "rep").select("rep", "root", "sig").mapInArrow(_regions_of(trees), "rep long, root long, regions array<long>")
-    members = signed.select("rep", "root", F.explode("regions").alias("region")).join(open_regions, "region").join(reps.select("rep", "n", "sig"), "rep")
-    members = _store.cut(members.withColumn("i", F.pmod(F.xxhash64("rep"), "every")).withColumn("j", F.pmod(F.xxhash64("rep", F.lit(1)), "few")), "members")
-    left = members.select("region", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few").cast("long") - 1)).alias("j"), "rep", "root", "n", "sig", F.lit(True).alias("left"))
-    right = members.where(F.col("root") != F.col("largest")).select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("every").cast("long") - 1)).alias("i"), "j", "rep", "root", "n", "sig", F.lit(False).alias("left"))
-    met = left.unionByName(right).groupBy("region", "i", "j").applyInArrow(_meet, "a long, b long, agree int")
-    out = _store.cut(met.groupBy("a", "b").agg(F.max("agree").alias("agree")), "dense-pairs")
-    _store.drop(open_regions, members)
-    return out
+        return roots
+    placed = reps.join(roots, "rep").select("rep", "root", "sig").mapInArrow(_regions_of(trees), "rep long, root long, regions array<long>")
+    members = _store.cut(placed.select("rep", "root", F.explode("regions").alias("region")).join(open_regions, "region"), "members")
+    sets = _gathered(plain, members.select(F.col("rep").alias("id")).distinct(), shingle)
+    i, j = F.pmod(F.xxhash64("rep"), "every"), F.pmod(F.xxhash64("rep", F.lit(1)), "few")
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    left = F.transform(upto("few"), lambda b: F.struct(i.alias("i"), b.alias("j"), F.lit(True).alias("left")))
+    right = F.when(F.col("root") != F.col("largest"), F.transform(upto("every"), lambda b: F.struct(b.alias("i"), j.alias("j"), F.lit(False).alias("left")))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint,left:boolean>>"))
+    whole = reps.select("rep", "n", "sig").join(sets.select(F.col("id").alias("rep"), F.col("shingles").alias("set")), "rep")
+    dealt = members.select("rep", "root", "region", F.explode(F.concat(left, right)).alias("to")).join(whole, "rep")
+    met = dealt.select("region", "to.i", "to.j", "to.left", "root", "n", "sig", "set").groupBy("region", "i", "j").applyInArrow(_meet(percent, trees.start), "u long, v long")
+    links = _store.cut(met, "dense-links")
+    _store.drop(open_regions, members, sets)
+    return _united(roots, links)
 
 
 def _sets(size: int):
@@ -308,10 +342,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select(pairs.columns)
 
 
-def _gathered(plain: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """(id, shingles) of the documents in pairs, as a table. Their texts cross the network once, without a sort: the list of ids is the side that is hashed."""
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = plain.join(ends.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi")
+def _gathered(plain: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, shingles) of the documents named in ids (id), as a table. Their texts cross the network once, without a sort: the list of ids is the side that is hashed."""
+    needed = plain.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi")
     return _store.cut(needed.mapInArrow(_sets(shingle), "id long, shingles array<long>").groupBy("id").agg(F.min("shingles").alias("shingles")), "shingles")
 
 
@@ -334,13 +367,19 @@ def _joined(plain: DataFrame, pairs: DataFrame, roots: DataFrame, shingle: int,
     if asked.isEmpty():
         _store.drop(asked)
         return roots
-    sets = _gathered(plain, asked, shingle)
+    sets = _gathered(plain, asked.select(F.col("a").alias("id")).union(asked.select(F.col("b").alias("id"))).distinct(), shingle)
     links = _store.cut(_confirmed(asked, sets, percent).select(F.col("a_root").alias("u"), F.col("b_root").alias("v")), "links")
     _store.drop(sets)
+    _store.drop(asked)
+    return _united(roots, links)
+
+
+def _united(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (rep, root) after links (u, v) between roots; a table. Both are deleted."""
     met = components(links)
     found = met.select(F.col("node").alias("root"), F.col("component").alias("top"))
     out = _store.cut(roots.join(found, "root", "left").select("rep", F.coalesce("top", "root").alias("root")), "roots")
-    _store.drop(asked, links, met, roots)
+    _store.drop(links, met, roots)
     return out
 
 
@@ -366,12 +405,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, text:
     _store.drop(pairs)
     roots = _joined(plain, every, roots, shingle, percent)
     _store.drop(every)
-    crowded = _dense(reps, proposed.where(F.col("a").isNull()).select("region", "root", "rows", "edge"), roots, late)
+    roots = _dense(plain, reps, proposed.where(F.col("a").isNull()).select("region", "root", "rows", "shingles", "edge"), roots, late, shingle, percent)
     _store.drop(proposed)
-    if crowded is not None:
-        roots = _joined(plain, _best(crowded), roots, shingle, percent)
-        roots = _joined(plain, crowded, roots, shingle, percent)
-        _store.drop(crowded)
     by_set = reps.select("key", "rep").join(roots, "rep").select("key", F.col("root").alias("component_id"))
     # A set that a third of all documents have makes this join's left side uneven; AQE splits it.
     out = base.select("doc_id", F.col("n").alias("n_shingles"), "key").join(by_set, "key", "left")
