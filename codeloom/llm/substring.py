@@ -281,7 +281,7 @@ class FingerprintIndex:
             out = rows if out is None else out.union(rows)
         return out
 
-    def add(self, docs: DataFrame, digests: bool = False, batch: str | None = None) -> DataFrame:
+    def add(self, docs: DataFrame, digests: bool = False, batch: str | None = None, compact: bool = True) -> DataFrame:
         """doc_id, n_words, n_removed and the kept words (text, or with `digests` their SHA-256) of each row of docs (doc_id, text); what is new goes into the index, as the batch of that name."""
         _store.arrow(self.spark)
         state, batch = self.state(), batch or uuid.uuid4().hex
@@ -310,7 +310,8 @@ class FingerprintIndex:
             if "kind=1" not in _store.names(self.spark, f"{self.at}/{own['told']}"):  # nothing was new
                 state["runs"].pop()
             self._commit(state)
-            self.compact()
+            if compact:
+                self.compact()
         told = self.spark.read.schema("split int, grp long, prints binary").parquet(f"{self.at}/{own['told']}/kind=0") if "kind=0" in _store.names(self.spark, f"{self.at}/{own['told']}") else self.spark.createDataFrame([], "split int, grp long, prints binary")
         out = self._dealt(plain, own).groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(_remove(self.window, digests, own["bits"]), _RESULT[digests][0])
         if own["fold"]:
@@ -349,7 +350,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, digests: bool = False, batches:
     """docs (doc_id, text) against themselves: ranges of doc_id, in order, go through an index of their own as batches, so that only one batch's shuffles are on disk at once."""
     spark = docs.sparkSession
     at = _store.folder(spark, "window-index")
-    index = FingerprintIndex(spark, at, window)
+    index = FingerprintIndex(spark, at, window, fan=2)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     # Any bounds are right; these make batches about equal.
     bounds = sorted(set(plain.select("doc_id").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
@@ -361,7 +362,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, digests: bool = False, batches:
             part = part.where(F.col("doc_id") >= low)
         if high is not None:
             part = part.where((F.col("doc_id") < high) if low is not None else (F.col("doc_id") < high) | F.col("doc_id").isNull())
-        own = index.add(part, digests)
+        own = index.add(part, digests, compact=high is not None)  # nothing reads the index after the last
         out = own if out is None else out.union(own)
     for r in index.state()["runs"]:  # nothing else will ask this index
         _store.remove(spark, f"{at}/{r['name']}")

@@ -117,13 +117,41 @@ def test_ledger_scans_a_blob_once(spark):
 @pytest.mark.parametrize("block", [decontaminate.BLOCK, 400])
 def test_decontaminate(spark, plain, block):
     items = [(1, plain[0]), (2, plain[5][:60]), (10, "alpha"), (11, ""), (12, None), (13, plain[0])]
+    nameless = [(None, plain[7])]
     df = spark.createDataFrame([(i, t, "kept") for i, t in plain.items()], "doc_id long, text string, hits string").drop("hits")
-    got = by_id(decontaminate.scan(df, spark.createDataFrame(items, "item_id long, text string"), block=block))
+    got = by_id(decontaminate.scan(df, spark.createDataFrame(items + nameless, "item_id long, text string"), block=block))
     for i, t in plain.items():
         r = got[i]
         assert (r["n_words"], sum(s["last"] - s["first"] + 1 for s in r["hits"]), r["items"]) == brute.contaminated(t, items), t
 
 
+def test_decontaminate_odd_tables(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    df = spark.createDataFrame([(1, "a b c", "x", 3), (1, "a b c", "x", 3), (2, None, "y", 4)], "doc_id long, text string, items string, n_words int")
+    for block in (decontaminate.BLOCK, -1):
+        rows = decontaminate.scan(df, none, block=block).collect()
+        assert sorted((r["doc_id"], r["n_words"], r["hits"], r["items"]) for r in rows) == [(1, 3, [], []), (1, 3, [], []), (2, 0, [], [])]
+        assert decontaminate.scan(df.limit(0), none, block=block).count() == 0
+
+
+def test_decontaminate_set_in_memory():
+    """A benchmark of 4 MB takes a bounded multiple of that, pickled or not."""
+    import pickle
+    import tracemalloc
+
+    rng = random.Random(5)
+    items = [(str(i), " ".join(rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(500))) for i in range(1000)]
+    size = sum(len(t.encode()) for _, t in items)
+    tracemalloc.start()
+    grams = decontaminate.Grams(items)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 8 * size and len(pickle.dumps(grams)) < 8 * size
+    # Windows of one hash but other words don't hit.
+    keys, start, end, places, item = grams._grouped(np.array([7, 7, 7], np.uint64), np.array([0, 10, 0]), np.array([5, 15, 5]), np.array([0, 0, 1], np.int32))
+    assert keys.tolist() == [7, 7] and sorted(np.diff(places).tolist()) == [1, 2]
+
+
 def test_decontaminate_removes_spans_and_documents(spark):
     passage = "one two three four five six seven eight nine ten"
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
