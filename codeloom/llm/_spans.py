@@ -14,20 +14,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
-#: Characters before a match that are searched for context words.
+#: Characters before and after a match that are searched for context words.
 NEAR = 40
 
 
 def spans(text: Column, kind: str, rank: int, pattern: str, valid: Callable[[Column], Column], score: Callable[[Column, Column], Column], cue: str | None = None) -> Column:
-    """Spans (code points, end exclusive) of the leftmost non-overlapping matches that are valid. `score` gets the match and the text just before it; `cue` is a substring that every match has (a cheap test)."""
-    found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    """Spans (code points, end exclusive) of the leftmost non-overlapping matches that are valid. `score` gets the match and the text around it, up to the next matches; `cue` is a substring that every match has (a cheap test)."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # The gaps are bound to a lambda's name, so that the text is split once.
+    found = F.get(F.transform(F.array(F.split(text, pattern, -1)), lambda gaps: F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))), F.lit(0))
     none = F.lit(None).cast(SPAN)
     empty = F.coalesce(none, F.array().cast(SPAN))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["gap"])
         end = start + F.char_length(x["hit"])
-        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), score(x["hit"], F.right(x["gap"], F.lit(NEAR))).cast("double").alias("score"))
+        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), score(x["hit"], F.concat(F.right(x["gap"], F.lit(NEAR)), F.lit("\n"), F.left(x["next"], F.lit(NEAR)))).cast("double").alias("score"))
         kept = F.when(F.coalesce(valid(x["hit"]), F.lit(False)), F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
         return F.struct(F.coalesce(end, start).alias("at"), kept.cast(SPAN).alias("out"))
 

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+from .pii import FORM, NEARBY, context
 
-def _spans(kind: str, rank: int, pattern: str, valid: str) -> str:
-    """Rows (doc_id, kind, rank, start, stop) of a pattern's matches that are valid; positions come from what lies between matches."""
+
+def _spans(kind: str, rank: int, pattern: str, valid: str, score: str = "0") -> str:
+    """Rows (doc_id, kind, rank, start, stop, score) of a pattern's matches that are valid; positions come from what lies between matches."""
     p = pattern.replace("'", "''")
-    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, upto - length(m) AS start, upto AS stop FROM (
-  SELECT doc_id, i, m, sum(length(p) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (
-    SELECT doc_id, unnest(ms) AS m, unnest(ps[:len(ms)]) AS p, unnest(range(len(ms))) AS i FROM (
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, upto - length(m) AS start, upto AS stop, {score} AS score FROM (
+  SELECT doc_id, i, m, right(p, 40) || chr(10) || left(q, 40) AS around, sum(length(p) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (
+    SELECT doc_id, unnest(ms) AS m, unnest(ps[:len(ms)]) AS p, unnest(ps[2:len(ms) + 1]) AS q, unnest(range(len(ms))) AS i FROM (
       SELECT doc_id, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS ps FROM d WHERE regexp_matches(t, '{p}'))))
 WHERE {valid}"""
 
 
-def _digests(parts: list[str], base: tuple[str, ...]) -> str:
+def _scored(kind: str) -> str:
+    """Hundredths: by the form, and more if a context word is near."""
+    return f"CASE WHEN regexp_matches(around, '{context(kind)}') THEN {round(100 * (FORM[kind] + NEARBY))} ELSE {round(100 * FORM[kind])} END"
+
+
+def _digests(parts: list[str], base: tuple[str, ...], more: str = "") -> str:
     joined = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop){}, '')"
     only = f" FILTER (WHERE kind IN ({', '.join(repr(k) for k in base)}))"
     counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in base)
-    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({' UNION ALL '.join(parts)}) SELECT d.doc_id, {counts}, sha256({joined.format(only)}) AS base_sha256, {joined.format(' FILTER (WHERE kind IS NOT NULL)')} AS spans FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"
+    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({' UNION ALL '.join(parts)}) SELECT d.doc_id, {counts}, sha256({joined.format(only)}) AS base_sha256, {joined.format(' FILTER (WHERE kind IS NOT NULL)')} AS spans{more} FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"
 
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
@@ -25,12 +32,13 @@ _LUHN = f"""length({_DIGITS}) BETWEEN 14 AND 19 AND list_sum(list_transform(rang
   WHEN k % 2 = 1 THEN CAST(reverse({_DIGITS})[k] AS INTEGER) WHEN CAST(reverse({_DIGITS})[k] AS INTEGER) > 4 THEN CAST(reverse({_DIGITS})[k] AS INTEGER) * 2 - 9 ELSE CAST(reverse({_DIGITS})[k] AS INTEGER) * 2 END)) % 10 = 0"""
 _PII = _digests(
     [
-        _spans("email", 1, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-        _spans("ip", 2, r"[0-9]+(?:\.[0-9]+){3}", "list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND CAST('0' || right(x, 3) AS INTEGER) <= 255))"),
-        _spans("card", 3, r"[0-9](?:[ -]?[0-9])+", _LUHN),
-        _spans("phone", 4, r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15"),
+        _spans("email", 1, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", _scored("email")),
+        _spans("ip", 2, r"[0-9]+(?:\.[0-9]+){3}", "list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND CAST('0' || right(x, 3) AS INTEGER) <= 255))", _scored("ip")),
+        _spans("card", 3, r"[0-9](?:[ -]?[0-9])+", _LUHN, _scored("card")),
+        _spans("phone", 4, r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15", _scored("phone")),
     ],
     ("email", "ip", "card", "phone"),
+    ", coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY start, rank, stop) FILTER (WHERE kind IS NOT NULL), '') AS scores",
 )
 _VALUE = r"""(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)"""
 _SECRETS = _digests(

@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 Only Spark's own functions run here. Kinds: email, ip, card (Luhn), phone, and iban (mod 97). A null
-text counts as empty; an empty text has no spans; other columns of the input pass through, and
+text counts as empty; an empty text has no spans; a text of any length is searched whole; an empty table gives an empty result; other columns of the input pass through, and
 columns of the input with the names of added ones are replaced. Repeated rows each get their spans.
 """
 
@@ -19,18 +19,38 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Characters of an IBAN, by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+
+
+def _iban(length: int, countries: str) -> str:
+    fours, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: As long as the country's IBANs are, so that a word in capitals after one is not taken in.
+IBAN = rf"(?<![A-Za-z0-9])(?:{'|'.join(_iban(n, c) for n, c in IBAN_LENGTHS.items())})(?![A-Za-z0-9])"
 
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
-#: Words that, up to _spans.NEAR characters before a span, speak for its kind.
+#: Words that, up to _spans.NEAR characters before or after a span, speak for its kind.
 CONTEXT = {
-    "email": r"(?i)\b(e-?mail|mail|contact|write|correo|courriel)\b",
-    "ip": r"(?i)\b(ip|host|server|address|addr|login)\b",
-    "card": r"(?i)\b(card|visa|credit|debit|payment|mastercard|karte|carte|tarjeta)\b",
-    "phone": r"(?i)\b(phone|call|tel|telephone|mobile|fax|cell|whatsapp)\b",
-    "iban": r"(?i)\b(iban|account|bank|konto|compte|cuenta|transfer)\b",
+    "email": "e-?mail|mail|contact|write|correo|courriel",
+    "ip": "ip|host|server|address|addr|login",
+    "card": "card|visa|credit|debit|payment|mastercard|karte|carte|tarjeta",
+    "phone": "phone|call|tel|telephone|mobile|fax|cell|whatsapp",
+    "iban": "iban|account|bank|konto|compte|cuenta|transfer",
 }
+
+
+def context(kind: str) -> str:
+    """A pattern of the kind's words as whole words."""
+    return f"(?i)(^|[^A-Za-z0-9_])({CONTEXT[kind]})([^A-Za-z0-9_]|$)"
+
+
 #: What a span scores by its form (with its checksum, where it has one), and what a context word adds.
 FORM, NEARBY = {"email": 0.8, "ip": 0.5, "card": 0.8, "phone": 0.5, "iban": 0.9}, 0.2
 
@@ -53,11 +73,11 @@ def mod97(hit: Column) -> Column:
         code = F.ascii(c)
         return F.when(code < 58, (acc * 10 + code - 48) % 97).otherwise((acc * 100 + code - 55) % 97)
 
-    return F.when(F.char_length(bare).between(15, 34), F.aggregate(turned, F.lit(0), step) == 1).otherwise(False)
+    return F.aggregate(turned, F.lit(0), step) == 1
 
 
 def _score(kind: str):
-    return lambda hit, before: F.lit(FORM[kind]) + F.when(before.rlike(CONTEXT[kind]), NEARBY).otherwise(0.0)
+    return lambda hit, around: F.lit(FORM[kind]) + F.when(around.rlike(context(kind)), NEARBY).otherwise(0.0)
 
 
 def found(text: Column) -> Column:

@@ -22,7 +22,8 @@ def _digest(found: str, base: tuple[str, ...]) -> list:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = pii.detect(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return seen.select("doc_id", *_digest("pii", pii.BASE))
+    scores = F.concat_ws(",", F.transform("pii", lambda s: F.round(s["score"] * 100).cast("int").cast("string"))).alias("scores")
+    return seen.select("doc_id", *_digest("pii", pii.BASE), scores)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

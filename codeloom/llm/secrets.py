@@ -33,7 +33,7 @@ LEDGER = "blob string, rule_version string, findings " + _spans.SPAN
 def found(text: Column) -> Column:
     """All spans of a text, by start and then kind."""
     text = F.coalesce(text, F.lit(""))
-    flat = lambda v: lambda hit, before: F.lit(v)
+    flat = lambda v: lambda hit, around: F.lit(v)
     return F.array_sort(
         F.concat(
             _spans.spans(text, "assign", 1, ASSIGN, lambda h: F.char_length(F.regexp_extract(h, VALUE, 1)) >= 6, flat(0.7)),
