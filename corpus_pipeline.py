@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. Every stage's result is a table before the next one reads it. Defined results: null, empty
 and blank texts go in the first stage; rows that repeat a doc_id share every decision; rows with a
-null doc_id are never near duplicates; empty tables stay empty; extra columns pass through all but
+null doc_id are never near duplicates; texts of any length are processed whole; ties go to the smaller doc_id; empty tables stay empty; extra columns pass through all but
 the last stage, which keeps doc_id, lang and source of those that are there.
 """
 
@@ -35,7 +35,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), items=LEAKS)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), items=LEAKS, spans=False)  # what is kept has no window, so no span either
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +67,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = _store.cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, _store.cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        _store.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
