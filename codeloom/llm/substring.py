@@ -284,6 +284,7 @@ class FingerprintIndex:
     def add(self, docs: DataFrame, digests: bool = False, batch: str | None = None, compact: bool = True) -> DataFrame:
         """doc_id, n_words, n_removed and the kept words (text, or with `digests` their SHA-256) of each row of docs (doc_id, text); what is new goes into the index, as the batch of that name."""
         _store.arrow(self.spark)
+        self.spark._jvm.System.gc()  # nothing refers to the shuffle files of the batch before any more, so Spark's cleaner deletes them
         state, batch = self.state(), batch or uuid.uuid4().hex
         plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
         own = state["batches"].get(batch)
@@ -304,7 +305,6 @@ class FingerprintIndex:
                 rows = rows.union(history.select("split", F.lit(_INDEX).cast("long").alias("grp"), none.alias("ids"), "prints", none.alias("owners")))
             # Written once, as both what groups are told and the new run come from it.
             rows.groupBy("split").applyInArrow(_merge(bits), _MERGED).write.partitionBy("kind").parquet(f"{self.at}/{own['told']}")
-            self.spark._jvm.System.gc()  # lets Spark's cleaner delete this batch's shuffle files
             state["batches"][batch] = own
             state["runs"].append({"name": f"{own['told']}/kind=1", "tier": 0, "bits": bits, "bytes": size})
             if "kind=1" not in _store.names(self.spark, f"{self.at}/{own['told']}"):  # nothing was new
@@ -366,4 +366,5 @@ def dedup(docs: DataFrame, window: int = WINDOW, digests: bool = False, batches:
         out = own if out is None else out.union(own)
     for r in index.state()["runs"]:  # nothing else will ask this index
         _store.remove(spark, f"{at}/{r['name']}")
+    spark._jvm.System.gc()
     return out
