@@ -14,7 +14,8 @@ components, not all its pairs. So a pair of linked documents is missed only if t
 agree in too few lanes: at similarity 0.8 about one in ten million, and fewer above it.
 
 Equal sets are first folded into one row by a partial aggregate. A few trees come first; of their
-candidates, each document's most alike are confirmed, and their components found. The later steps then
+candidates, each document's most alike are confirmed, and their components found: these trees only make groups of
+copies one early. The later trees, which alone see every pair, take neighbours in sparse regions and blocks in dense ones, and
 pass over pairs that are already connected, so a large group of copies yields few more pairs. Links
 and components stay in tables, which are deleted once nothing reads them.
 
@@ -145,8 +146,8 @@ class _Regions:
         self.reach, self.first = reach, True
         self.held: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, e: np.ndarray, roots: np.ndarray, sizes_of: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-        """(region, root, rows, shingles, edge) so far; the last region of a batch waits, as it may be the last of the partition."""
+    def add(self, e: np.ndarray, roots: np.ndarray, sizes_of: np.ndarray) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+        """(region, root, rows, shingles, edge) so far, and which rows are in a region of over REACH + 1. The last region of a batch waits, as it may be the last of the partition."""
         done = self.held
         region = np.zeros((len(e), 8), np.uint8)
         region[:, 1:] = e[:, : 1 + 2 * LEAST]
@@ -154,6 +155,7 @@ class _Regions:
         starts = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
         sizes = np.diff(np.append(starts, len(e)))
         told = sizes > self.reach + 1
+        dense = np.repeat(told, sizes)
         told[[0, -1]] = True
         rows = np.repeat(told, sizes)
         pairs, which, n = np.unique(np.stack([region[rows], roots[rows]]), axis=1, return_inverse=True, return_counts=True)
@@ -163,7 +165,7 @@ class _Regions:
         self.first = False
         done.append((pairs[0][~last], pairs[1][~last], n[~last], shingles[~last], edge[~last]))
         self.held = [(pairs[0][last], pairs[1][last], n[last], shingles[last], edge[last])]
-        return done
+        return done, dense
 
     def end(self) -> list[tuple[np.ndarray, ...]]:
         return [(*x, np.ones(len(x[0]), bool)) for *x, _ in self.held]
@@ -172,8 +174,8 @@ class _Regions:
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32()), ("region", pa.int64()), ("root", pa.int64()), ("rows", pa.int64()), ("shingles", pa.int64()), ("edge", pa.bool_())])
 
 
-def _neighbours(reach: int):
-    """Pairs of ids (a < b) of different roots with the number of short lanes that agree, of sorted entries, and with a null a the regions that neighbours don't cover. The last `reach` rows of a batch are looked at again with the next."""
+def _neighbours(reach: int, sparse: bool):
+    """Pairs of ids (a < b) of different roots with the number of short lanes that agree, of sorted entries, and with a null a the regions that neighbours don't cover. With `sparse`, pairs in regions that are dense are left to those who take the regions. The last `reach` rows of a batch are looked at again with the next."""
 
     def batch_of(pairs: list, regions: list) -> pa.RecordBatch:
         a, b, n = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
@@ -198,28 +200,30 @@ def _neighbours(reach: int):
             fresh = len(tail)
             sizes, roots, ids = (_number(e, at) for at in (-24, -16, -8))
             short = e[:, _HEAD : _HEAD + SHORT]
+            told, dense = regions.add(e[fresh:], roots[fresh:], sizes[fresh:])
+            dense = np.concatenate((np.zeros(fresh, bool), dense & sparse))
             found = []
             for s in range(1, reach + 1):
                 if len(e) <= s:
                     break
                 i = np.flatnonzero((e[s:, : 1 + 2 * LEAST] == e[:-s, : 1 + 2 * LEAST]).all(axis=1))
-                i = i[(i + s >= fresh) & (roots[i] != roots[i + s])]
+                i = i[(i + s >= fresh) & (roots[i] != roots[i + s]) & ~dense[i + s]]
                 small, large = np.minimum(sizes[i], sizes[i + s]), np.maximum(sizes[i], sizes[i + s])
                 i = i[100 * small >= 80 * large]
                 agree = (short[i] == short[i + s]).sum(axis=1)
                 i, agree = i[agree >= AGREE], agree[agree >= AGREE]
                 found.append((np.minimum(ids[i], ids[i + s]), np.maximum(ids[i], ids[i + s]), agree))
             tail = e[-reach:]
-            yield batch_of(found, regions.add(e[fresh:], roots[fresh:], sizes[fresh:]))
+            yield batch_of(found, told)
         yield batch_of([], regions.end())
 
     return neighbours
 
 
-def _proposed(reps: DataFrame, trees: range, reach: int, name: str) -> DataFrame:
+def _proposed(reps: DataFrame, trees: range, reach: int, sparse: bool, name: str) -> DataFrame:
     """What the trees give for reps (rep, n, sig, root): pairs and regions, as _neighbours says."""
     entries = reps.select("rep", "n", "sig", "root").mapInArrow(_plant(trees), "entry binary")
-    return _store.cut(entries.repartitionByRange("entry").sortWithinPartitions("entry").mapInArrow(_neighbours(reach), "a long, b long, agree int, region long, root long, rows long, shingles long, edge boolean"), name)
+    return _store.cut(entries.repartitionByRange("entry").sortWithinPartitions("entry").mapInArrow(_neighbours(reach, sparse), "a long, b long, agree int, region long, root long, rows long, shingles long, edge boolean"), name)
 
 
 def _pairs(proposed: DataFrame) -> DataFrame:
@@ -396,15 +400,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, text:
     reps = _store.cut(signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("key", "n", "sig").agg(F.min("doc_id").alias("rep")), "sets")
     _store.drop(signed)
     roots = _store.cut(reps.select("rep", F.col("rep").alias("root")).distinct(), "roots")
-    proposed = _proposed(reps.withColumn("root", F.col("rep")), early, REACH, "early")
-    pairs = _store.cut(_pairs(proposed), "pairs")
+    proposed = _proposed(reps.withColumn("root", F.col("rep")), early, REACH, False, "early")
+    roots = _joined(plain, _best(_pairs(proposed)), roots, shingle, percent)
     _store.drop(proposed)
-    roots = _joined(plain, _best(pairs), roots, shingle, percent)
-    proposed = _proposed(reps.join(roots, "rep"), late, REACH, "late")
-    every = _store.cut(_apart(pairs.select("a", "b").union(_pairs(proposed).select("a", "b")).distinct(), roots).select("a", "b"), "apart")
-    _store.drop(pairs)
-    roots = _joined(plain, every, roots, shingle, percent)
-    _store.drop(every)
+    proposed = _proposed(reps.join(roots, "rep"), late, REACH, True, "late")
+    roots = _joined(plain, _pairs(proposed), roots, shingle, percent)
     roots = _dense(plain, reps, proposed.where(F.col("a").isNull()).select("region", "root", "rows", "shingles", "edge"), roots, late, shingle, percent)
     _store.drop(proposed)
     by_set = reps.select("key", "rep").join(roots, "rep").select("key", F.col("root").alias("component_id"))
