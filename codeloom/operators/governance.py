@@ -133,23 +133,41 @@ def violations_by_file(found: DataFrame) -> DataFrame:
     return found.groupBy(F.col("subject").alias("path")).agg(F.count("*").alias("violation_count"))
 
 
-METRICS = ("symbols", "functions", "complexity", "fan_out", "max_complexity", "public_symbols", "duplicated")
+#: What a change score has, in its order.
+METRICS = ("complexity_delta", "fan_out_delta", "new_duplication", "check_violations", "symbols_added", "symbols_removed", "files_changed")
 
 
 def side_metrics(m: CodeModel) -> DataFrame:
-    """Per file: what a change score compares."""
-    return m.with_fans().groupBy("file_path").agg(
-        F.count("*").alias("symbols"), F.count_if(F.col("kind").isin(*CALLABLES)).alias("functions"), F.sum("complexity").alias("complexity"), F.sum("fan_out").alias("fan_out"), F.max("complexity").alias("max_complexity"), F.count_if(F.col("visibility") == "public").alias("public_symbols")
-    )
+    """(file_path, complexity, fan_out) of one side of a change. Callers count by name and within the file only, so that both sides can be read without an index."""
+    s = m.symbols.select(F.col("id").alias("source_id"), F.col("file_path"))
+    calls = m.calls().join(s, "source_id").select("source_id", "target_name", "file_path")
+    out = calls.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("calls"))
+    named = calls.groupBy("file_path", F.col("target_name").alias("name")).agg(F.count("*").alias("called"))
+    f = m.symbols.where(F.col("kind").isin(*CALLABLES)).select("id", "file_path", "name").join(out, "id", "left").join(named, ["file_path", "name"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    by_file = f.groupBy("file_path").agg(F.sum(2 * zero("calls") + zero("called")).alias("complexity"))
+    return by_file.join(calls.groupBy("file_path").agg(F.count("*").alias("fan_out")), "file_path", "full_outer").select("file_path", zero("complexity").alias("complexity"), zero("fan_out").alias("fan_out"))
 
 
-def score(before: DataFrame, now: DataFrame, metrics: tuple[str, ...] = METRICS[:6]) -> DataFrame:
-    """One row of changes in metrics of two sides (file_path, metrics): files on one side only count whole."""
-    b = before.select("file_path", *[F.col(c).alias(f"{c}_before") for c in metrics])
-    n = now.select("file_path", *[F.col(c).alias(f"{c}_now") for c in metrics])
-    joined = b.join(n, "file_path", "full_outer")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return joined.agg(*[F.coalesce(F.sum(zero(f"{c}_now") - zero(f"{c}_before")), F.lit(0)).cast("long").alias(f"{c}_delta") for c in metrics])
+def symbol_keys(m: CodeModel) -> DataFrame:
+    """(file_path, parent, name), distinct: what a symbol is told by across sides, as ids hold line numbers."""
+    parent = F.element_at(F.split("parent_id", "::"), -1) if "parent_id" in m.symbols.columns else F.lit(None).cast("string")
+    return m.symbols.select("file_path", F.coalesce(parent, F.lit("")).alias("parent"), "name").distinct()
+
+
+def score(before: CodeModel, now: CodeModel, changed: DataFrame, violations: DataFrame | None = None, new_pairs: DataFrame | None = None) -> DataFrame:
+    """One row of METRICS over the changed files (path). A file on one side only counts whole; violations and new_pairs are counted as given."""
+    c = changed.select(F.col("path").alias("file_path")).distinct()
+    near = lambda df: df.join(c, "file_path", "left_semi")
+    side = lambda m, sign: near(side_metrics(m)).select((sign * F.col("complexity")).alias("x"), (sign * F.col("fan_out")).alias("y"))
+    deltas = side(now, 1).unionByName(side(before, -1)).agg(F.coalesce(F.sum("x"), F.lit(0)).cast("long").alias("complexity_delta"), F.coalesce(F.sum("y"), F.lit(0)).cast("long").alias("fan_out_delta"))
+    old, new = near(symbol_keys(before)).withColumn("old", F.lit(1)), near(symbol_keys(now)).withColumn("new", F.lit(1))
+    keys = old.join(new, ["file_path", "parent", "name"], "full_outer").agg(F.count_if(F.col("old").isNull()).alias("symbols_added"), F.count_if(F.col("new").isNull()).alias("symbols_removed"))
+    count = lambda df, name: df.agg(F.count("*").alias(name)) if df is not None else now.files.sparkSession.range(1).select(F.lit(0).cast("long").alias(name))
+    out = deltas
+    for one in (keys, count(new_pairs, "new_duplication"), count(violations, "check_violations"), count(c, "files_changed")):  # one row each
+        out = out.crossJoin(F.broadcast(one))
+    return out.select(*METRICS)
 
 
 _CONDITION = re.compile(r"\s*([a-z_]+)\s*(>=|<=|>|<)\s*(-?\d+)\s*")
@@ -162,6 +180,8 @@ def parse_conditions(text: str) -> list[tuple[str, str, int]]:
         m = _CONDITION.fullmatch(part)
         if not m:
             raise RuleError(f"not a condition: {part.strip()}")
+        if m[1] not in METRICS:
+            raise RuleError(f"unknown metric: {m[1]}")
         out.append((m[1], m[2], int(m[3])))
     return out
 
@@ -170,7 +190,7 @@ def gate(scored: DataFrame, conditions: str) -> DataFrame:
     """(condition, value, failed) of a one-row score."""
     parts = parse_conditions(conditions)
     ops = {">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v, ">": lambda c, v: c > v, "<": lambda c, v: c < v}
-    rows = F.array(*[F.struct(F.lit(f"{m} {o} {v}").alias("condition"), F.col(f"{m}_delta").alias("value"), ops[o](F.col(f"{m}_delta"), v).alias("failed")) for m, o, v in parts])
+    rows = F.array(*[F.struct(F.lit(f"{m} {o} {v}").alias("condition"), F.col(m).alias("value"), ops[o](F.col(m), v).alias("failed")) for m, o, v in parts])
     return scored.select(F.explode(rows).alias("r")).select("r.*")
 
 
@@ -209,64 +229,87 @@ def top_symbols_per_file(m: CodeModel, k: int = 3) -> DataFrame:
     return m.with_fans().withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("file_path", "name", "complexity", "place")
 
 
-# Audit: five categories, each a one-row frame of counts and a score from 0 to 10.
+# Audit: five categories, each with a score from 0 to 10.
 
+#: Fixed values of the audit: weights; the share of documented symbols from which each score is given; the share of misnamed ones up to which.
 WEIGHTS = {"complexity": 0.25, "duplication": 0.20, "coverage": 0.20, "modularity": 0.20, "naming": 0.15}
-
-
-def _ratio(part: Column, whole: Column, empty: float) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(empty)
+COVERED = ((0.95, 10.0), (0.80, 8.0), (0.60, 6.0), (0.40, 4.0))
+MISNAMED = ((0.01, 10.0), (0.05, 8.0), (0.20, 6.0), (0.40, 4.0))
+WORST = 2.0
+#: Fan-out from which a function counts, dependencies over which a file is tangled, and shares of external ones.
+FAN_OUT, TANGLED, FAR, FURTHER = 20, 20, 0.3, 0.5
+_PASCAL = ("struct", "enum", "class", "interface", "type")
+
+
+def _ladder(value: Column, steps: tuple, fits) -> Column:
+    out = F.lit(WORST)
+    for bound, score in reversed(steps):
+        out = F.when(fits(value, bound), score).otherwise(out)
+    return out
 
 
 def audit_complexity(m: CodeModel) -> DataFrame:
-    f = m.with_fans().where(F.col("kind").isin(*CALLABLES))
-    counts = f.agg(F.count("*").alias("functions"), F.count_if(F.col("fan_out") > 50).alias("critical"), F.count_if((F.col("fan_out") > 30) & (F.col("fan_out") <= 50)).alias("high"), F.count_if((F.col("fan_out") > 10) & (F.col("fan_out") <= 30)).alias("medium"))
-    penalty = _ratio(10 * F.col("critical") + 5 * F.col("high") + 2 * F.col("medium"), F.col("functions"), 0.0)
-    return counts.withColumn("score", F.greatest(F.lit(0.0), 10 - penalty))
+    """(critical, high, medium, score): the worst severity that occurs sets the range, and how often it does the place in it."""
+    from codeloom.operators import metrics
+
+    kind = lambda k: F.count_if(F.col("severity") == k).alias(k)
+    n = metrics.complexity(m, FAN_OUT, warnings_only=True).agg(kind("critical"), kind("high"), kind("medium"))
+    c, h, d = F.col("critical"), F.col("high"), F.col("medium")
+    less = lambda top, by, most: F.lit(top) - F.least(by, F.lit(most))
+    score = F.when(c > 0, F.greatest(less(4.0, c * 0.5, 3.0), F.lit(1.0))).when(h > 5, less(5.0, (h - 5) * 0.2, 2.0)).when(h > 0, 6.0 - h * 0.2)
+    return n.withColumn("score", score.when(d > 10, less(7.0, (d - 10) * 0.1, 1.0)).when(d > 0, 8.0 - d * 0.1).otherwise(10.0))
 
 
 def audit_duplication(m: CodeModel) -> DataFrame:
-    """Groups of three or more symbols whose names differ in trailing digits and underscores only."""
+    """(stem, n): groups of three or more functions whose names differ in trailing digits and underscores only."""
     stem = F.regexp_replace("name", "[0-9_]+$", "")
-    return m.symbols.withColumn("stem", stem).where(F.length("stem") >= 4).groupBy("stem").agg(F.count("*").alias("n")).where(F.col("n") >= 3)
+    return m.symbols.where(F.col("kind").isin(*CALLABLES)).withColumn("stem", stem).where(F.octet_length("stem") >= 4).groupBy("stem").agg(F.count("*").alias("n")).where(F.col("n") >= 3)
 
 
 def audit_coverage(m: CodeModel) -> DataFrame:
-    p = m.symbols.where(F.col("visibility") == "public").agg(F.count("*").alias("public"), F.count("brief").alias("documented"))
-    return p.withColumn("score", 10 * _ratio(F.col("documented"), F.col("public"), 1.0))
+    """(public, documented, score): public symbols, and those with a brief or a docstring."""
+    doc = F.coalesce("brief", "docstring") if "docstring" in m.symbols.columns else F.col("brief")
+    p = m.symbols.where(F.col("visibility") == "public").agg(F.count("*").alias("public"), F.count(doc).alias("documented"))
+    return p.withColumn("score", F.when(F.col("public") == 0, 10.0).otherwise(_ladder(F.col("documented") / F.col("public"), COVERED, lambda v, b: v >= b)))
 
 
-def audit_modularity(m: CodeModel, most: int = 20) -> DataFrame:
-    deps = links.file_dependencies(m)
-    per = deps.groupBy("from_file").agg(F.count_if(F.col("to_file") != "external").alias("n"), F.sum(F.when(F.col("to_file") == "external", F.col("call_count")).otherwise(0)).alias("external"), F.sum("call_count").alias("calls"))
-    return per.agg(F.count_if(F.col("n") > most).alias("tangled"), F.count("*").alias("files"), F.coalesce(F.sum("external"), F.lit(0)).alias("external_calls"), F.coalesce(F.sum("calls"), F.lit(0)).alias("calls")).withColumn("score", 10 * (1 - _ratio(F.col("tangled"), F.col("files"), 0.0)))
-
-
-NAMING = {"function": "^[a-z_][a-z0-9_]*$", "method": "^[a-z_][a-z0-9_]*$", "struct": "^[A-Z][A-Za-z0-9]*$", "class": "^[A-Z][A-Za-z0-9]*$", "trait": "^[A-Z][A-Za-z0-9]*$", "const": "^[A-Z][A-Z0-9_]*$"}
+def audit_modularity(m: CodeModel) -> DataFrame:
+    """(dependencies, external, tangled, score): pairs of files, those to outside, and files with many."""
+    per = links.file_dependencies(m).groupBy("from_file").agg(F.count("*").alias("n"), F.count_if(F.col("to_file") == "external").alias("external"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    n = per.agg(zero("n").alias("dependencies"), zero("external").alias("external"), F.count_if(F.col("n") > TANGLED).alias("tangled"))
+    far = F.when(F.col("dependencies") > 0, F.col("external") / F.col("dependencies")).otherwise(0.0)
+    score = F.when(far > FURTHER, 5.0).when(far > FAR, 6.0).when(F.col("tangled") == 0, 9.0 - far * 2).otherwise(7.0 - F.least(F.col("tangled") * 0.5, F.lit(2.0)))
+    return n.withColumn("score", F.least(F.greatest(score, F.lit(2.0)), F.lit(10.0)))
 
 
 def audit_naming(m: CodeModel) -> DataFrame:
-    """Symbols whose names break their kind's convention, with the name that would not."""
-    snake = F.lower(F.regexp_replace(F.regexp_replace("name", "([a-z0-9])([A-Z])", "$1_$2"), "[^A-Za-z0-9]+", "_"))
-    pascal = F.array_join(F.transform(F.split(snake, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.expr("''"), F.substring(w, 2, 1000))), "")
-    bad, better = F.lit(False), F.lit(None).cast("string")
-    for kind, pattern in NAMING.items():
-        bad = bad | ((F.col("kind") == kind) & ~F.col("name").rlike(pattern))
-    better = F.when(F.col("kind").isin("function", "method"), snake).when(F.col("kind") == "const", F.upper(snake)).otherwise(pascal)
+    """(id, name, kind, suggestion) of symbols whose names break their kind's convention: functions in snake case, types in Pascal case, constants in either case of snake."""
+    name, kind = F.col("name"), F.col("kind")
+    snake, loud = name.rlike("^_?[a-z0-9_]*$"), name.rlike("^[A-Z0-9_]*$")
+    pascal = (name == "") | (name.rlike("^[A-Z]") & (F.length(F.regexp_replace(name, "[^_]", "")) <= 1))
+    bad = (kind.isin(*CALLABLES) & ~snake) | (kind.isin(*_PASCAL) & ~pascal) | ((kind == "constant") & ~(snake | loud))
+    words = F.transform(F.split(name, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
+    to_snake = F.lower(F.concat(F.substring(name, 1, 1), F.regexp_replace(F.substr(name, F.lit(2)), "([A-Z])", "_$1")))
+    better = F.when(kind.isin(*CALLABLES), to_snake).when(kind == "constant", F.upper(name)).otherwise(F.array_join(words, ""))
     return m.symbols.where(bad).select("id", "name", "kind", better.alias("suggestion"))
 
 
 def audit(m: CodeModel) -> DataFrame:
     """(category, score, weight), and the weighted total as category 'overall'."""
     one = lambda name, df: df.select(F.lit(name).alias("category"), F.col("score").cast("double").alias("score"))
-    n = m.symbols.agg(F.count("*").alias("symbols"))
-    duplicated = audit_duplication(m).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("bad")).crossJoin(n)  # one row each
-    misnamed = audit_naming(m).agg(F.count("*").alias("bad")).crossJoin(n)
-    share = lambda df: df.select((10 * (1 - _ratio(F.col("bad"), F.col("symbols"), 0.0))).alias("score"))
-    parts = one("complexity", audit_complexity(m)).unionByName(one("duplication", share(duplicated))).unionByName(one("coverage", audit_coverage(m))).unionByName(one("modularity", audit_modularity(m))).unionByName(one("naming", share(misnamed)))
+    groups = audit_duplication(m).agg(F.count("*").alias("n"))
+    duplication = groups.select(F.when(F.col("n") == 0, 10.0).when(F.col("n") <= 2, 8.0).when(F.col("n") <= 5, 6.0).otherwise(4.0).alias("score"))
+    named = audit_naming(m).agg(F.count("*").alias("bad")).crossJoin(m.symbols.agg(F.count("*").alias("n")))  # one row each
+    naming = named.select(F.when(F.col("n") == 0, 10.0).otherwise(_ladder(F.col("bad") / F.col("n"), MISNAMED, lambda v, b: v <= b)).alias("score"))
+    parts = one("complexity", audit_complexity(m)).unionByName(one("duplication", duplication)).unionByName(one("coverage", audit_coverage(m))).unionByName(one("modularity", audit_modularity(m))).unionByName(one("naming", naming))
     weight = F.create_map(*[x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v))])[F.col("category")]
     parts = parts.withColumn("weight", weight)
-    return parts.unionByName(parts.agg(F.lit("overall").alias("category"), F.sum(F.col("score") * F.col("weight")).alias("score"), F.lit(1.0).alias("weight")))
+    total = F.sum(F.col("score") * F.col("weight"))
+    # One scan of the five rows gives both them and their total.
+    return parts.rollup("category").agg(F.max("score").alias("own"), F.max("weight").alias("own_weight"), total.alias("total"), F.grouping("category").alias("all")).select(
+        F.coalesce("category", F.lit("overall")).alias("category"), F.when(F.col("all") == 1, F.col("total")).otherwise(F.col("own")).alias("score"), F.when(F.col("all") == 1, 1.0).otherwise(F.col("own_weight")).alias("weight")
+    )
 
 
 # Trends over snapshots (commit_sha, committed_at, ...).

@@ -27,10 +27,14 @@ def _grouped_calls(m: CodeModel) -> DataFrame:
 
 
 def file_dependencies(m: CodeModel) -> DataFrame:
-    """Calls between files; targets that no symbol matches are in the file 'external'."""
-    joined = with_source(with_targets(_grouped_calls(m), m.symbols), m.symbols)
-    target = F.coalesce("t_file", F.lit("external"))
-    return joined.where(F.col("s_file") != target).groupBy(F.col("s_file").alias("from_file"), target.alias("to_file")).agg(F.sum("n").alias("call_count"))
+    """Calls between files; targets that no symbol matches are in the file 'external'. Calls are folded by source file, and symbols by name and file, before names join, so shared names multiply files and not symbols."""
+    calls = with_source(_grouped_calls(m), m.symbols).groupBy("s_file", "target_id", "target_name").agg(F.sum("n").alias("n"))
+    ids = m.symbols.select(F.col("id").alias("target_id"), F.col("file_path").alias("t_file"), F.lit(1).cast("long").alias("k"))
+    names = m.symbols.groupBy(F.col("name").alias("target_name"), F.col("file_path").alias("t_file")).agg(F.count("*").alias("k"))
+    resolved = calls.where(F.col("target_id").isNotNull()).join(ids, "target_id", "left")
+    named = calls.where(F.col("target_id").isNull()).join(names, "target_name", "left")
+    both = resolved.unionByName(named).withColumn("to_file", F.coalesce("t_file", F.lit("external"))).where(F.col("s_file") != F.col("to_file"))
+    return both.groupBy(F.col("s_file").alias("from_file"), "to_file").agg(F.sum(F.col("n") * F.coalesce("k", F.lit(1))).alias("call_count"))
 
 
 def full_call_graph(m: CodeModel) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Binding call edges to the symbols they mean, pass by pass.
+"""Binding edges to the symbols they mean, pass by pass.
 
 Each pass sees the edges that earlier ones left, and binds an edge only to a single candidate.
 """
@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 
 from codeloom.model import CALLABLES
 
+#: Marks, in the context of a `uses` edge, a name that stands where a function may be passed as a value.
+ITEM = "rust-function-item:"
 
-def _single(open_edges: DataFrame, candidates: DataFrame, on: Column) -> DataFrame:
-    """(id, bound) of the edges with just one candidate (c_id)."""
-    return open_edges.join(candidates, on).groupBy("id").agg(F.count("*").alias("n"), F.min("c_id").alias("bound")).where(F.col("n") == 1).select("id", "bound")
 
+def _counted(open_edges: DataFrame, candidates: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    """(id, n, bound): how many candidates (c_id) each edge has, and the least of them."""
+    return open_edges.join(candidates, on, how).groupBy("id").agg(F.count("c_id").alias("n"), F.min("c_id").alias("bound"))
 
-def _bind(edges: DataFrame, found: DataFrame) -> DataFrame:
-    return edges.join(found, "id", "left").withColumn("target_id", F.coalesce("target_id", "bound")).drop("bound")
+
+def _bind(edges: DataFrame, found: DataFrame, number: int) -> DataFrame:
+    """edges with the targets of found (id, n, bound) where n is 1, and the pass that bound them."""
+    fresh = F.col("target_id").isNull() & F.col("bound").isNotNull()
+    joined = edges.join(found.where(F.col("n") == 1).select("id", "bound"), "id", "left")
+    return joined.withColumn("resolved_by", F.when(fresh, number).otherwise(F.col("resolved_by"))).withColumn("target_id", F.coalesce("target_id", "bound")).drop("bound")
 
 
 def unique_names(symbols: DataFrame) -> DataFrame:
@@ -26,16 +32,49 @@ def unique_names(symbols: DataFrame) -> DataFrame:
     return f.groupBy(F.col("name").alias("u_name")).agg(F.count("*").alias("n"), F.min("id").alias("u_id")).where(F.col("n") == 1).drop("n")
 
 
-def resolve(edges: DataFrame, symbols: DataFrame, context: str | None = None) -> DataFrame:
-    """edges with more target_ids: (0) context is a qualified name; (1) context holds a qualified name of the target's name; (2) the name is unique among functions; (3) it is unique among functions of the caller's file."""
-    f = symbols.where(F.col("kind").isin(*CALLABLES)).select(F.col("id").alias("c_id"), F.col("name").alias("c_name"), F.col("qualified_name").alias("c_qname"), F.col("file_path").alias("c_file"))
-    unbound = lambda e: e.where(F.col("target_id").isNull())
-    if context:
-        edges = _bind(edges, _single(unbound(edges), f, F.col(context) == F.col("c_qname")))
-        edges = _bind(edges, _single(unbound(edges), f, (F.col("target_name") == F.col("c_name")) & F.ilike(F.col(context), F.concat(F.lit("%"), F.col("c_qname"), F.lit("%")))))
+def function_items(edges: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, n, bound) of open references to Rust functions as values: a bare name means any free function of that name, a path one whose file's module path ends in it."""
+    rust = files.where(F.col("language") == "rust").select(F.col("path").alias("file_path"))
+    sources = symbols.join(rust, "file_path", "left_semi").select(F.col("id").alias("source_id"))
+    asked = edges.where(F.col("target_id").isNull() & (F.col("kind") == "uses") & F.col("context").startswith(ITEM)).join(sources, "source_id", "left_semi")
+    asked = asked.select("id", "target_name", F.substring("context", len(ITEM) + 1, 1 << 20).alias("reference"))
+    module = F.regexp_replace(F.regexp_replace("file_path", r"(/mod\.rs|\.rs)$", ""), r"[/\\]", "::")
+    f = symbols.where(F.col("kind") == "function").join(rust, "file_path", "left_semi").select(F.col("id").alias("c_id"), F.col("name").alias("c_name"), F.concat(module, F.lit("::"), "name").alias("c_path"))
+    tail = F.regexp_replace("reference", "^(crate|self)::", "")
+    fits = F.when(~F.contains("reference", F.lit("::")), F.col("reference") == F.col("c_name")).otherwise((F.col("c_path") == tail) | F.col("c_path").endswith(F.concat(F.lit("::"), tail)))
+    return _counted(asked, f, (F.col("target_name") == F.col("c_name")) & fits, "left")
+
+
+def resolve(edges: DataFrame, symbols: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """edges with more target_ids, and resolved_by, the pass that bound them.
+
+    (0) A reference to a function as a value, with one fitting function; with none it names no function, and the edge goes. Such edges take no part further on.
+    (1) The context is a qualified name. (2) It holds a qualified name of the target's name. (3) The name is unique among functions.
+    (4) It is unique among functions of the caller's file, unless the context calls it on something else (after ::, . or ->) and
+    doesn't hold that function's qualified name.
+    """
+    f = symbols.where(F.col("kind").isin(*CALLABLES)).select(F.col("id").alias("c_id"), F.col("name").alias("c_name"), F.col("qualified_name").alias("c_qname"))
+    edges = edges.withColumn("resolved_by", F.lit(None).cast("int"))
+    item = F.lit(False)
+    if "context" in edges.columns:
+        item = F.coalesce((F.col("kind") == "uses") & F.col("context").startswith(ITEM), F.lit(False))
+        if files is not None:
+            found = function_items(edges, symbols, files)
+            edges = _bind(edges, found, 0).join(found.where(F.col("n") == 0).select("id"), "id", "left_anti")
+        unbound = lambda e: e.where(F.col("target_id").isNull() & F.col("context").isNotNull() & ~item)
+        edges = _bind(edges, _counted(unbound(edges), f, F.col("context") == F.col("c_qname")), 1)
+        edges = _bind(edges, _counted(unbound(edges), f, (F.col("target_name") == F.col("c_name")) & F.ilike("context", F.concat(F.lit("%"), F.col("c_qname"), F.lit("%")))), 2)
     names = unique_names(symbols)
-    edges = edges.join(names, F.col("target_name") == F.col("u_name"), "left").withColumn("target_id", F.coalesce("target_id", "u_id")).drop("u_name", "u_id")
-    local = symbols.where(F.col("kind").isin(*CALLABLES)).groupBy(F.col("file_path").alias("l_file"), F.col("name").alias("l_name")).agg(F.count("*").alias("n"), F.min("id").alias("l_id")).where(F.col("n") == 1).drop("n")
+    open_ = F.col("target_id").isNull() & ~item
+    edges = edges.join(names, F.col("target_name") == F.col("u_name"), "left").withColumn("resolved_by", F.when(open_ & F.col("u_id").isNotNull(), 3).otherwise(F.col("resolved_by")))
+    edges = edges.withColumn("target_id", F.when(open_, F.col("u_id")).otherwise(F.col("target_id"))).drop("u_name", "u_id")
+    local = symbols.where(F.col("kind").isin(*CALLABLES)).groupBy(F.col("file_path").alias("l_file"), F.col("name").alias("l_name")).agg(F.count("*").alias("n"), F.min("id").alias("l_id"), F.min("qualified_name").alias("l_qname")).where(F.col("n") == 1).drop("n")
     sources = symbols.select(F.col("id").alias("source_id"), F.col("file_path").alias("s_file"))
     edges = edges.join(sources, "source_id", "left").join(local, (F.col("target_name") == F.col("l_name")) & (F.col("s_file") == F.col("l_file")), "left")
-    return edges.withColumn("target_id", F.coalesce("target_id", "l_id")).drop("s_file", "l_file", "l_name", "l_id")
+    own = F.lit(True)
+    if "context" in edges.columns:
+        after = lambda mark: F.ilike("context", F.concat(F.lit(f"%{mark}"), F.col("target_name"), F.lit("(%")))
+        own = F.col("context").isNull() | ~(after("::") | after(".") | after("->")) | F.coalesce(F.ilike("context", F.concat(F.lit("%"), F.col("l_qname"), F.lit("%"))), F.lit(False))
+    take = open_ & own & F.col("l_id").isNotNull()
+    edges = edges.withColumn("resolved_by", F.when(take, 4).otherwise(F.col("resolved_by"))).withColumn("target_id", F.when(take, F.col("l_id")).otherwise(F.col("target_id")))
+    return edges.drop("s_file", "l_file", "l_name", "l_id", "l_qname")

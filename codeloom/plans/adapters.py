@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from codeloom.model import CodeModel
 
-KINDS = {"STANDARD": "function", "ECONOMY": "method", "SMALL": "struct", "MEDIUM": "class", "LARGE": "trait", "PROMO": "const"}
+KINDS = {"STANDARD": "function", "ECONOMY": "method", "SMALL": "struct", "MEDIUM": "class", "LARGE": "trait", "PROMO": "constant"}
 EDGE_KINDS = {"A": "calls", "N": "imports", "R": "uses"}
+#: How a reference to a function as a value is marked in an edge's context.
+ITEM = "rust-function-item:"
 LANGUAGES = ("rust", "python", "go", "typescript")
 
 
@@ -48,7 +50,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
     walk = items.withColumn("next_part", F.lead("l_partkey").over(steps)).withColumn("step", F.row_number().over(steps)).where(F.col("next_part").isNotNull())
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("next_part"), F.col("p_name").alias("target_name"))
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("next_part"), F.col("p_name").alias("target_name"), F.concat("p_brand", F.lit("::"), "p_name").alias("target"))
+    item = F.when(F.col("l_returnflag") == "R", F.concat(F.lit(ITEM), F.when(F.col("step") % 2 == 0, F.col("target_name")).otherwise(F.col("target"))))
+    form = F.col("l_orderkey") % 6
+    context = F.when(form == 0, F.col("target")).when(form == 1, F.concat(F.lit("call "), "target", F.lit("()"))).when(form == 2, F.concat(F.lit("x."), "target_name", F.lit("("))).when(form == 4, F.concat("target_name", F.lit("("))).when(form == 5, item)
     return walk.join(names, "next_part").select(
         (F.col("l_orderkey") * 100 + F.col("step")).cast("long").alias("id"),
         F.col("l_partkey").cast("string").alias("source_id"),
@@ -56,6 +61,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         "target_name",
         _case("l_returnflag", EDGE_KINDS).alias("kind"),
         F.col("l_linenumber").cast("int").alias("line"),
+        context.alias("context"),
     )
 
 
@@ -87,7 +93,9 @@ steps AS (
 edges AS (
   SELECT CAST(l_orderkey * 100 + step AS BIGINT) AS id, CAST(l_partkey AS VARCHAR) AS source_id,
     CASE WHEN l_linestatus <> 'O' THEN CAST(next_part AS VARCHAR) END AS target_id, p_name AS target_name,
-    {_sql_case("l_returnflag", EDGE_KINDS)} AS kind, CAST(l_linenumber AS INTEGER) AS line
+    {_sql_case("l_returnflag", EDGE_KINDS)} AS kind, CAST(l_linenumber AS INTEGER) AS line,
+    CASE l_orderkey % 6 WHEN 0 THEN p_brand || '::' || p_name WHEN 1 THEN 'call ' || p_brand || '::' || p_name || '()' WHEN 2 THEN 'x.' || p_name || '(' WHEN 4 THEN p_name || '('
+      WHEN 5 THEN CASE WHEN l_returnflag = 'R' THEN '{ITEM}' || CASE WHEN step % 2 = 0 THEN p_name ELSE p_brand || '::' || p_name END END END AS context
   FROM steps JOIN part ON next_part = p_partkey),
 files AS (
   SELECT p_brand AS path, CAST(sum(p_size) AS BIGINT) AS size_bytes, CAST(max(p_partkey) AS BIGINT) AS last_indexed,

@@ -202,17 +202,34 @@ def pagerank_focus(spark: S, d: D) -> DataFrame:
     return graph.focus(m, graph.pagerank(m, iterations=5, tolerance=None), [START]).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query(
-    CTES.rstrip()
-    + """, f AS (SELECT * FROM symbols WHERE kind IN ('function', 'method')),
-u AS (SELECT name, min(id) AS uid FROM f GROUP BY name HAVING count(*) = 1),
-p2 AS (SELECT e.*, coalesce(e.target_id, uid) AS t2 FROM edges e LEFT JOIN u ON e.target_name = u.name),
-loc AS (SELECT file_path, name, min(id) AS lid FROM f GROUP BY 1, 2 HAVING count(*) = 1)
-SELECT p2.id, p2.source_id, coalesce(t2, lid) AS target_id FROM p2 LEFT JOIN symbols s ON s.id = p2.source_id LEFT JOIN loc ON loc.name = p2.target_name AND loc.file_path = s.file_path"""
-)
+_RESOLVE = CTES.rstrip() + f""", f AS (SELECT s.*, language FROM symbols s JOIN files ON path = file_path WHERE kind IN ('function', 'method')),
+o AS (SELECT e.*, s.file_path AS s_file, l.language AS s_lang, coalesce(e.kind = 'uses' AND context LIKE '{ad.ITEM}%', false) AS item, regexp_replace(substr(context, {len(ad.ITEM) + 1}), '^(crate|self)::', '') AS ref FROM edges e LEFT JOIN symbols s ON s.id = e.source_id LEFT JOIN files l ON l.path = s.file_path),
+c0 AS (SELECT o.id, count(f.id) AS n, min(f.id) AS bound FROM o LEFT JOIN f ON f.kind = 'function' AND f.language = 'rust' AND f.name = o.target_name AND CASE WHEN contains(ref, '::') THEN f.file_path || '::' || f.name = ref OR ends_with(f.file_path || '::' || f.name, '::' || ref) ELSE ref = f.name END
+  WHERE o.item AND o.target_id IS NULL AND o.s_lang = 'rust' GROUP BY o.id),
+p0 AS (SELECT o.* REPLACE (coalesce(target_id, CASE WHEN n = 1 THEN bound END) AS target_id), CASE WHEN target_id IS NULL AND n = 1 THEN 0 END AS rb FROM o LEFT JOIN c0 USING (id) WHERE coalesce(n, 1) > 0),
+c1 AS (SELECT p0.id, min(f.id) AS bound FROM p0 JOIN f ON f.qualified_name = p0.context WHERE p0.target_id IS NULL AND NOT item GROUP BY 1 HAVING count(*) = 1),
+p1 AS (SELECT p0.* REPLACE (coalesce(target_id, bound) AS target_id, CASE WHEN target_id IS NULL AND bound IS NOT NULL THEN 1 ELSE rb END AS rb) FROM p0 LEFT JOIN c1 USING (id)),
+c2 AS (SELECT p1.id, min(f.id) AS bound FROM p1 JOIN f ON f.name = p1.target_name AND p1.context ILIKE '%' || f.qualified_name || '%' WHERE p1.target_id IS NULL AND NOT item GROUP BY 1 HAVING count(*) = 1),
+p2 AS (SELECT p1.* REPLACE (coalesce(target_id, bound) AS target_id, CASE WHEN target_id IS NULL AND bound IS NOT NULL THEN 2 ELSE rb END AS rb) FROM p1 LEFT JOIN c2 USING (id)),
+u AS (SELECT name, min(id) AS bound FROM f GROUP BY name HAVING count(*) = 1),
+p3 AS (SELECT p2.* REPLACE (CASE WHEN target_id IS NULL AND NOT item THEN bound ELSE target_id END AS target_id, CASE WHEN target_id IS NULL AND NOT item AND bound IS NOT NULL THEN 3 ELSE rb END AS rb) FROM p2 LEFT JOIN u ON u.name = target_name),
+loc AS (SELECT file_path, name, min(id) AS bound, min(qualified_name) AS q FROM f GROUP BY 1, 2 HAVING count(*) = 1),
+p4 AS (SELECT p3.*, bound, target_id IS NULL AND NOT item AND bound IS NOT NULL AND (context IS NULL OR NOT (context ILIKE '%::' || target_name || '(%' OR context ILIKE '%.' || target_name || '(%' OR context ILIKE '%->' || target_name || '(%') OR context ILIKE '%' || q || '%') AS take FROM p3 LEFT JOIN loc ON loc.name = target_name AND loc.file_path = s_file),
+done AS (SELECT id, source_id, CASE WHEN take THEN bound ELSE target_id END AS target_id, CASE WHEN take THEN 4 ELSE rb END AS resolved_by FROM p4)
+"""
+
+
+@query(_RESOLVE + "SELECT id, source_id, target_id, CAST(coalesce(resolved_by, -1) AS INTEGER) AS resolved_by FROM done")
 def edge_resolution_passes(spark: S, d: D) -> DataFrame:
     m = model(spark, d)
-    return resolve.resolve(m.edges, m.symbols).select("id", "source_id", "target_id")
+    return resolve.resolve(m.edges, m.symbols, m.files).select("id", "source_id", "target_id", F.coalesce("resolved_by", F.lit(-1)).alias("resolved_by"))
+
+
+@query(_RESOLVE + "SELECT CAST(coalesce(resolved_by, -1) AS INTEGER) AS pass, CAST(count(*) AS BIGINT) AS n FROM done GROUP BY 1")
+def edge_resolution_counts(spark: S, d: D) -> DataFrame:
+    """Edges by the pass that bound them; -1 for those bound before, or not at all."""
+    m = model(spark, d)
+    return resolve.resolve(m.edges, m.symbols, m.files).groupBy(F.coalesce("resolved_by", F.lit(-1)).alias("pass")).agg(F.count("*").alias("n"))
 
 
 # Near duplicates over whole texts: distinct shingle sets, pairs of them, and who has them.
@@ -442,29 +459,47 @@ def rules_check(spark: S, d: D) -> DataFrame:
     return governance.check(model(spark, d), RULES).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-def _sides(spark: S, d: D) -> tuple[DataFrame, DataFrame]:
-    """The model without its imports' targets, and as it is: two versions of the same files."""
+def _sides(spark: S, d: D) -> tuple:
+    """Two versions of the same files, and which files changed: before, there were no traits, and no edges past line 4."""
     now = model(spark, d)
     before = ad.CodeModel(now.symbols.where(F.col("kind") != "trait"), now.edges.where(F.col("line") <= 4), now.files)
-    return governance.side_metrics(before), governance.side_metrics(now)
+    return before, now, now.files.where(F.col("language").isin("rust", "go")).select("path")
+
+
+def _score(spark: S, d: D) -> DataFrame:
+    before, now, changed = _sides(spark, d)
+    return governance.score(before, now, changed, governance.check(now, RULES, changed))
+
 
+def _side(name: str, symbols: str, edges: str) -> str:
+    return f""", {name}c AS (SELECT e.source_id, e.target_name, s.file_path FROM {edges} e JOIN {symbols} s ON s.id = e.source_id WHERE e.kind = 'calls' AND s.file_path IN (SELECT path FROM ch)),
+{name} AS (SELECT coalesce((SELECT sum(2 * (SELECT count(*) FROM {name}c c WHERE c.source_id = s.id) + (SELECT count(*) FROM {name}c c WHERE c.file_path = s.file_path AND c.target_name = s.name)) FROM {symbols} s WHERE s.kind IN ('function', 'method') AND s.file_path IN (SELECT path FROM ch)), 0) AS x, (SELECT count(*) FROM {name}c) AS y),
+{name}k AS (SELECT DISTINCT file_path, name FROM {symbols} WHERE file_path IN (SELECT path FROM ch))"""
 
-_SCORE = CTES.rstrip() + """, bs AS (SELECT * FROM symbols WHERE kind <> 'trait'), be AS (SELECT * FROM edges WHERE line <= 4),
-bo AS (SELECT source_id AS id, count(*) AS o FROM be WHERE kind = 'calls' GROUP BY 1), bi AS (SELECT target_id AS id, count(*) AS i FROM be WHERE kind = 'calls' AND target_id IS NOT NULL GROUP BY 1),
-bf AS (SELECT s.*, coalesce(o, 0) AS fan_out, 2 * coalesce(o, 0) + coalesce(i, 0) AS complexity FROM bs s LEFT JOIN bo ON bo.id = s.id LEFT JOIN bi ON bi.id = s.id),
-side AS (SELECT 'b' AS side, file_path, count(*) AS symbols, count(*) FILTER (WHERE kind IN ('function', 'method')) AS functions, sum(complexity) AS complexity, sum(fan_out) AS fan_out, max(complexity) AS max_complexity, count(*) FILTER (WHERE visibility = 'public') AS public_symbols FROM bf GROUP BY 2
- UNION ALL SELECT 'n', file_path, count(*), count(*) FILTER (WHERE kind IN ('function', 'method')), sum(complexity), sum(fan_out), max(complexity), count(*) FILTER (WHERE visibility = 'public') FROM fans GROUP BY 2),
-sc AS (SELECT """ + ", ".join(f"CAST(sum(CASE side WHEN 'n' THEN {c} ELSE -{c} END) AS BIGINT) AS {c}_delta" for c in governance.METRICS[:6]) + " FROM side) "
+
+_SCORE = (
+    _DEPS.rstrip()
+    + ", bs AS (SELECT * FROM symbols WHERE kind <> 'trait'), be AS (SELECT * FROM edges WHERE line <= 4), ch AS (SELECT path FROM files WHERE language IN ('rust', 'go'))"
+    + _side("b", "bs", "be")
+    + _side("w", "symbols", "edges")
+    + """, ends AS (SELECT * FROM ld WHERE from_file IN (SELECT path FROM ch) OR to_file IN (SELECT path FROM ch)),
+bad AS (SELECT 1 FROM ends WHERE fl = 'low' AND tl = 'top' UNION ALL SELECT 1 FROM ends WHERE tl = 'mid' AND fl IS NOT NULL AND fl NOT IN ('mid', 'top')
+UNION ALL SELECT 1 FROM fans WHERE kind IN ('function', 'method') AND fan_out > 12 AND file_path IN (SELECT path FROM ch) UNION ALL SELECT 1 FROM (SELECT file_path FROM fans WHERE file_path IN (SELECT path FROM ch) GROUP BY 1 HAVING sum(complexity) FILTER (WHERE kind IN ('function', 'method')) > 1000)
+UNION ALL SELECT 1 FROM ld WHERE regexp_full_match(to_file, 'Brand#2.') AND NOT regexp_full_match(from_file, 'Brand#2.') AND from_file IN (SELECT path FROM ch)),
+sc AS (SELECT CAST(w.x - b.x AS BIGINT) AS complexity_delta, CAST(w.y - b.y AS BIGINT) AS fan_out_delta, CAST(0 AS BIGINT) AS new_duplication, (SELECT count(*) FROM bad) AS check_violations,
+ (SELECT count(*) FROM (SELECT * FROM wk EXCEPT SELECT * FROM bk)) AS symbols_added, (SELECT count(*) FROM (SELECT * FROM bk EXCEPT SELECT * FROM wk)) AS symbols_removed, (SELECT count(*) FROM ch) AS files_changed FROM w, b)
+"""
+)
 
 
 @query(_SCORE + "SELECT * FROM sc")
 def score_delta(spark: S, d: D) -> DataFrame:
-    return governance.score(*_sides(spark, d))
+    return _score(spark, d)
 
 
-@query(_SCORE + "SELECT 'symbols >= 1' AS condition, symbols_delta AS value, symbols_delta >= 1 AS failed FROM sc UNION ALL SELECT 'fan_out < 0', fan_out_delta, fan_out_delta < 0 FROM sc")
+@query(_SCORE + "SELECT 'symbols_added >= 1' AS condition, symbols_added AS value, symbols_added >= 1 AS failed FROM sc UNION ALL SELECT 'fan_out_delta < 0', fan_out_delta, fan_out_delta < 0 FROM sc")
 def score_gate(spark: S, d: D) -> DataFrame:
-    return governance.gate(governance.score(*_sides(spark, d)), "symbols >= 1, fan_out < 0")
+    return governance.gate(_score(spark, d), "symbols_added >= 1, fan_out_delta < 0")
 
 
 _HOT = """, b AS (SELECT min(churn) AS c0, max(churn) AS c1, min(complexity) AS x0, max(complexity) AS x1 FROM k),
@@ -499,19 +534,22 @@ def top_symbols_per_file(spark: S, d: D) -> DataFrame:
     return governance.top_symbols_per_file(model(spark, d))
 
 
-_AUDIT = CTES.rstrip() + """, cx AS (SELECT count(*) AS functions, count(*) FILTER (WHERE fan_out > 50) AS critical, count(*) FILTER (WHERE fan_out > 30 AND fan_out <= 50) AS high, count(*) FILTER (WHERE fan_out > 10 AND fan_out <= 30) AS medium FROM fans WHERE kind IN ('function', 'method')),
-a_complexity AS (SELECT *, greatest(0.0, 10 - CASE WHEN functions > 0 THEN (10 * critical + 5 * high + 2 * medium)::DOUBLE / functions ELSE 0 END) AS score FROM cx),
-a_dup AS (SELECT regexp_replace(name, '[0-9_]+$', '') AS stem, count(*) AS n FROM symbols GROUP BY 1 HAVING length(regexp_replace(name, '[0-9_]+$', '')) >= 4 AND count(*) >= 3),
-a_cov AS (SELECT count(*) AS public, count(brief) AS documented, 10 * CASE WHEN count(*) > 0 THEN count(brief)::DOUBLE / count(*) ELSE 1 END AS score FROM symbols WHERE visibility = 'public'),
-fd AS (SELECT s.file_path AS f, coalesce(t.file_path, 'external') AS t, count(*) AS c FROM edges e JOIN symbols s ON e.source_id = s.id LEFT JOIN symbols t ON (e.target_id IS NOT NULL AND e.target_id = t.id) OR (e.target_id IS NULL AND e.target_name = t.name) WHERE e.kind = 'calls' AND s.file_path <> coalesce(t.file_path, 'external') GROUP BY 1, 2),
-pf AS (SELECT f, count(*) FILTER (WHERE t <> 'external') AS n, sum(CASE WHEN t = 'external' THEN c ELSE 0 END) AS ext, sum(c) AS calls FROM fd GROUP BY 1),
-a_mod AS (SELECT count(*) FILTER (WHERE n > 20) AS tangled, count(*) AS files, CAST(coalesce(sum(ext), 0) AS BIGINT) AS external_calls, CAST(coalesce(sum(calls), 0) AS BIGINT) AS calls, 10 * (1 - CASE WHEN count(*) > 0 THEN (count(*) FILTER (WHERE n > 20))::DOUBLE / count(*) ELSE 0 END) AS score FROM pf),
-a_nam AS (SELECT id, name, kind FROM symbols WHERE (kind IN ('function', 'method') AND NOT regexp_matches(name, '^[a-z_][a-z0-9_]*$')) OR (kind IN ('struct', 'class', 'trait') AND NOT regexp_matches(name, '^[A-Z][A-Za-z0-9]*$')) OR (kind = 'const' AND NOT regexp_matches(name, '^[A-Z][A-Z0-9_]*$'))),
-parts AS (SELECT 'complexity' AS category, score, 0.25::DOUBLE AS weight FROM a_complexity UNION ALL SELECT 'duplication', 10 * (1 - coalesce((SELECT sum(n) FROM a_dup), 0)::DOUBLE / (SELECT count(*) FROM symbols)), 0.20 UNION ALL SELECT 'coverage', score, 0.20 FROM a_cov UNION ALL SELECT 'modularity', score, 0.20 FROM a_mod UNION ALL SELECT 'naming', 10 * (1 - (SELECT count(*) FROM a_nam)::DOUBLE / (SELECT count(*) FROM symbols)), 0.15)
+_AUDIT = CTES.rstrip() + r""", cx AS (SELECT count(*) FILTER (WHERE fan_out > 50) AS c, count(*) FILTER (WHERE fan_out > 30 AND fan_out <= 50) AS h, count(*) FILTER (WHERE fan_out > 20 AND fan_out <= 30) AS d FROM fans WHERE kind IN ('function', 'method')),
+a_complexity AS (SELECT c AS critical, h AS high, d AS medium, CAST(CASE WHEN c > 0 THEN greatest(4 - least(c * 0.5, 3), 1) WHEN h > 5 THEN 5 - least((h - 5) * 0.2, 2) WHEN h > 0 THEN 6 - h * 0.2 WHEN d > 10 THEN 7 - least((d - 10) * 0.1, 1) WHEN d > 0 THEN 8 - d * 0.1 ELSE 10 END AS DOUBLE) AS score FROM cx),
+a_dup AS (SELECT regexp_replace(name, '[0-9_]+$', '') AS stem, count(*) AS n FROM symbols WHERE kind IN ('function', 'method') GROUP BY 1 HAVING strlen(regexp_replace(name, '[0-9_]+$', '')) >= 4 AND count(*) >= 3),
+a_cov AS (SELECT count(*) AS public, count(brief) AS documented, CAST(CASE WHEN count(*) = 0 OR count(brief) >= 0.95 * count(*) THEN 10 WHEN count(brief) >= 0.8 * count(*) THEN 8 WHEN count(brief) >= 0.6 * count(*) THEN 6 WHEN count(brief) >= 0.4 * count(*) THEN 4 ELSE 2 END AS DOUBLE) AS score FROM symbols WHERE visibility = 'public'),
+fd AS (SELECT DISTINCT s.file_path AS f, coalesce(t.file_path, 'external') AS t FROM edges e JOIN symbols s ON e.source_id = s.id LEFT JOIN symbols t ON (e.target_id IS NOT NULL AND e.target_id = t.id) OR (e.target_id IS NULL AND e.target_name = t.name) WHERE e.kind = 'calls' AND s.file_path <> coalesce(t.file_path, 'external')),
+md AS (SELECT count(*) AS dependencies, count(*) FILTER (WHERE t = 'external') AS external, (SELECT count(*) FROM (SELECT f FROM fd GROUP BY 1 HAVING count(*) > 20)) AS tangled, coalesce(count(*) FILTER (WHERE t = 'external')::DOUBLE / nullif(count(*), 0), 0) AS far FROM fd),
+a_mod AS (SELECT dependencies, external, tangled, CAST(least(greatest(CASE WHEN far > 0.5 THEN 5 WHEN far > 0.3 THEN 6 WHEN tangled = 0 THEN 9 - far * 2 ELSE 7 - least(tangled * 0.5, 2) END, 2), 10) AS DOUBLE) AS score FROM md),
+a_nam AS (SELECT id, name, kind, CASE WHEN kind IN ('function', 'method') THEN lower(name[1] || regexp_replace(name[2:], '([A-Z])', '_\1', 'g')) WHEN kind = 'constant' THEN upper(name) ELSE array_to_string(list_transform(string_split(name, '_'), lambda w: upper(w[1]) || lower(w[2:])), '') END AS suggestion FROM symbols
+ WHERE (kind IN ('function', 'method') AND NOT regexp_matches(name, '^_?[a-z0-9_]*$')) OR (kind IN ('struct', 'class', 'enum', 'interface', 'type') AND NOT (regexp_matches(name, '^[A-Z]') AND length(name) - length(replace(name, '_', '')) <= 1)) OR (kind = 'constant' AND NOT regexp_matches(name, '^(_?[a-z0-9_]*|[A-Z0-9_]*)$'))),
+nm AS (SELECT (SELECT count(*) FROM a_nam) AS bad, count(*) AS n FROM symbols),
+parts AS (SELECT 'complexity' AS category, score, 0.25::DOUBLE AS weight FROM a_complexity UNION ALL SELECT 'duplication', CAST(CASE WHEN count(*) = 0 THEN 10 WHEN count(*) <= 2 THEN 8 WHEN count(*) <= 5 THEN 6 ELSE 4 END AS DOUBLE), 0.20 FROM a_dup UNION ALL SELECT 'coverage', score, 0.20 FROM a_cov UNION ALL SELECT 'modularity', score, 0.20 FROM a_mod
+ UNION ALL SELECT 'naming', CAST(CASE WHEN n = 0 OR bad <= 0.01 * n THEN 10 WHEN bad <= 0.05 * n THEN 8 WHEN bad <= 0.2 * n THEN 6 WHEN bad <= 0.4 * n THEN 4 ELSE 2 END AS DOUBLE), 0.15 FROM nm)
 """
 
 
-@query(_AUDIT + "SELECT functions, critical, high, medium, round(score, 9) AS score FROM a_complexity")
+@query(_AUDIT + "SELECT critical, high, medium, round(score, 9) AS score FROM a_complexity")
 def audit_complexity(spark: S, d: D) -> DataFrame:
     return governance.audit_complexity(model(spark, d)).withColumn("score", F.round("score", 9))
 
@@ -526,14 +564,14 @@ def audit_coverage(spark: S, d: D) -> DataFrame:
     return governance.audit_coverage(model(spark, d)).withColumn("score", F.round("score", 9))
 
 
-@query(_AUDIT + "SELECT tangled, files, external_calls, calls, round(score, 9) AS score FROM a_mod")
+@query(_AUDIT + "SELECT dependencies, external, tangled, round(score, 9) AS score FROM a_mod")
 def audit_modularity(spark: S, d: D) -> DataFrame:
     return governance.audit_modularity(model(spark, d)).withColumn("score", F.round("score", 9))
 
 
-@query(_AUDIT + "SELECT id, name, kind FROM a_nam")
+@query(_AUDIT + "SELECT id, name, kind, suggestion FROM a_nam")
 def audit_naming(spark: S, d: D) -> DataFrame:
-    return governance.audit_naming(model(spark, d)).select("id", "name", "kind")
+    return governance.audit_naming(model(spark, d))
 
 
 @query(_AUDIT + "SELECT category, round(score, 6) AS score, weight FROM parts UNION ALL SELECT 'overall', round(sum(score * weight), 6), 1.0 FROM parts")

@@ -124,16 +124,65 @@ def test_rules(chain):
 
 
 def test_score_and_hotspots(spark, chain):
-    side = governance.side_metrics(chain)
-    assert set(governance.score(side, side).first()) == {0}
-    one = governance.score(side.limit(0), side)
-    assert [r["failed"] for r in governance.gate(one, "symbols >= 4, fan_out > 99").collect()] == [True, False]
+    changed = chain.files.select("path")
+    assert {**governance.score(chain, chain, changed).first().asDict(), "files_changed": 0} == dict.fromkeys(governance.METRICS, 0)
+    none = type(chain)(chain.symbols.limit(0), chain.edges.limit(0), chain.files.limit(0))
+    one = governance.score(none, chain, changed, violations=changed.limit(1)).first().asDict()
+    n = chain.symbols.select("file_path", "name").distinct().count()
+    calls = chain.calls().count()
+    assert (one["symbols_added"], one["symbols_removed"], one["fan_out_delta"], one["check_violations"], one["files_changed"]) == (n, 0, calls, 1, changed.count())
+    back = governance.score(chain, none, changed).first().asDict()
+    assert back["symbols_removed"] == n and back["complexity_delta"] == -one["complexity_delta"] < 0
+    assert [r["failed"] for r in governance.gate(governance.score(none, chain, changed), "symbols_added >= 4, fan_out_delta > 99").collect()] == [n >= 4, False]
+    with pytest.raises(governance.RuleError):
+        governance.parse_conditions("lines > 3")
     hot = spark.createDataFrame([("both", 9, 9), ("complex", 2, 10), ("churned", 10, 1), ("calm", 1, 99)], "path string, churn long, complexity long")
     got = governance.hotspots(hot, ["path"]).collect()
     assert got[0]["path"] == "both" and len(got) == 3
     assert {r["category"] for r in governance.audit(chain).collect()} == {*governance.WEIGHTS, "overall"}
 
 
+def _audited(spark, names, kind="function", calls=()):
+    """A model of symbols in one file a name, and calls (source, target name) that nothing resolves."""
+    from codeloom.model import CodeModel
+
+    s = spark.createDataFrame([(str(i), f"f{i}", n, n, kind, "public", "doc" if i % 2 else None) for i, n in enumerate(names)], "id string, file_path string, name string, qualified_name string, kind string, visibility string, brief string")
+    e = spark.createDataFrame([(i, a, None, b, "calls", 1) for i, (a, b) in enumerate(calls)], "id long, source_id string, target_id string, target_name string, kind string, line int")
+    return CodeModel(s, e, spark.createDataFrame([(f"f{i}", "rust") for i in range(len(names))], "path string, language string"))
+
+
+def test_audit_ladders(spark):
+    """Scores by hand."""
+    fan = lambda n: [("0", f"x{i}") for i in range(n)]
+    for n, want in ((0, 10.0), (20, 10.0), (21, 7.9), (31, 5.8), (51, 3.5)):
+        assert round(governance.audit_complexity(_audited(spark, ["a_fn"], calls=fan(n))).first()["score"], 6) == want
+    m = _audited(spark, [f"work_{i}" for i in range(4)] + ["go1", "go2", "go3"])
+    assert [tuple(r) for r in governance.audit_duplication(m).collect()] == [("work", 4)]
+    assert governance.audit_coverage(m).first()["score"] == 4.0 and governance.audit_coverage(_audited(spark, [])).first()["score"] == 10.0
+    assert governance.audit_modularity(m).first()["score"] == 9.0 and governance.audit_modularity(_audited(spark, ["a_fn"], calls=fan(2))).first()["score"] == 5.0
+    named = lambda names, kind: sorted((r["name"], r["suggestion"]) for r in governance.audit_naming(_audited(spark, names, kind)).collect())
+    assert named(["ok_1", "_private", "BadName", ""], "function") == [("BadName", "bad_name")]
+    assert named(["Good", "T_1", "bad_type", "A_b_c"], "struct") == [("A_b_c", "ABC"), ("bad_type", "BadType")]
+    assert named(["MAX", "lower_ok", "Mixed"], "constant") == [("Mixed", "MIXED")] and named(["whatEver"], "trait") == []
+    total = {r["category"]: r["score"] for r in governance.audit(m).collect()}
+    assert round(total["overall"], 6) == round(sum(total[k] * w for k, w in governance.WEIGHTS.items()), 6) and total["duplication"] == 8.0
+
+
+def test_resolution_passes(spark):
+    s = spark.createDataFrame(
+        [("1", "a.rs", "run", "A::run", "function"), ("2", "b/mod.rs", "run", "B::run", "function"), ("3", "b/mod.rs", "only", "B::only", "function"), ("4", "a.rs", "new", "A::new", "method"), ("5", "c.rs", "new", "C::new", "method"), ("6", "a.rs", "caller", "A::caller", "function")],
+        "id string, file_path string, name string, qualified_name string, kind string",
+    )
+    files = spark.createDataFrame([("a.rs", "rust"), ("b/mod.rs", "rust"), ("c.rs", "rust")], "path string, language string")
+    item = resolve.ITEM
+    e = [
+        (1, "6", None, "run", "uses", item + "crate::b::run"), (2, "6", None, "run", "uses", item + "run"), (3, "6", None, "MAX", "uses", item + "MAX"), (4, "6", None, "run", "calls", "A::run"), (5, "6", None, "run", "calls", "x = B::run(1)"),
+        (6, "6", None, "only", "calls", None), (7, "6", None, "new", "calls", "new()"), (8, "6", None, "new", "calls", "Box::new()"), (9, "6", None, "new", "calls", "v.new()"), (10, "6", None, "gone", "calls", None), (11, "6", "5", "new", "calls", None), (12, "6", None, "only", "uses", item + "only"),
+    ]
+    got = {r["id"]: (r["target_id"], r["resolved_by"]) for r in resolve.resolve(spark.createDataFrame(e, "id long, source_id string, target_id string, target_name string, kind string, context string"), s, files).collect()}
+    assert got == {1: ("2", 0), 2: (None, None), 4: ("1", 1), 5: ("2", 2), 6: ("3", 3), 7: ("4", 4), 8: (None, None), 9: (None, None), 10: (None, None), 11: ("5", None), 12: ("3", 0)}
+
+
 def test_sql_surface(chain):
     s = Surface(chain, cap=2)
     columns, got, cut = s.run("SELECT name FROM v1.symbols ORDER BY name")
