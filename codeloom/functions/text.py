@@ -7,7 +7,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOPWORDS = ("the", "a", "an", "of", "to", "in", "is", "and", "or", "for", "on", "with", "by", "find", "get", "search")
+#: Words of a query that are not searched for.
+STOPWORDS = tuple(
+    "a an the is are was were be been being have has had do does did will would could should may might must shall can need dare and or but if then else when where why how what which who whom "
+    "this that these those i you he she it we they me him her us them my your his its our their for to from with at by on in of about into through during before after above below find get search look all any each every".split()
+)
 
 
 def like_literal(text: str) -> str:
@@ -57,7 +61,7 @@ def lexical_tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Colu
 
 def query_terms(text: str) -> list[str]:
     """Terms of a search: lower-case runs of letters, digits and underscores, without short ones and stopwords."""
-    return [t for t in re.split(r"[^\w]+", text.lower()) if len(t) > 1 and t not in STOPWORDS]
+    return [t for t in re.split(r"[^\w]+", text.lower()) if len(t.encode()) > 1 and t not in STOPWORDS]
 
 
 def token_estimate(text: Column) -> Column:

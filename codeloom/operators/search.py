@@ -21,25 +21,48 @@ def find_symbols(symbols: DataFrame, pattern: str, limit: int = 20, file: str |
     return out.withColumn("match_rank", place).orderBy("match_rank", "name", "id").limit(limit)
 
 
-def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
+_APART = r"[^\p{L}\p{N}]+"
+
+
+def terms_of(*columns: Column) -> Column:
+    """The lower-case runs of letters and digits of all columns, one array."""
+    return F.filter(F.split(F.lower(F.concat_ws(" ", *columns)), _APART), lambda t: t != "")
+
+
+def postings(docs: DataFrame, key: str, *columns: Column) -> DataFrame:
     """(key, term, tf, length) of texts."""
-    terms = F.filter(F.split(F.lower(text), r"[^\w]+"), lambda t: t != "")
-    rows = docs.select(F.col(key).alias("key"), terms.alias("terms")).select("key", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    rows = docs.select(F.col(key).alias("key"), terms_of(*columns).alias("terms")).select("key", F.size("terms").alias("length"), F.explode("terms").alias("term"))
     return rows.groupBy("key", "length", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, key: str, text: Column, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of texts with a term of the query: Okapi BM25 with idf ln(1 + (N - df + 0.5) / (df + 0.5)). One scan: only query terms are exploded, and N and the mean length come with the rows as one global aggregate."""
-    words = sorted(set(tx.query_terms(query)))
-    terms = F.filter(F.split(F.lower(text), r"[^\w]+"), lambda t: t != "")
-    counts = docs.select(F.col(key).alias("key"), terms.alias("terms")).select("key", F.size("terms").alias("length"), F.array(*[F.struct(F.lit(w).alias("term"), (F.size("terms") - F.size(F.array_remove("terms", w))).alias("tf")) for w in words]).alias("found"))
-    totals = counts.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    hits = counts.select("key", "length", F.explode("found").alias("f")).select("key", "length", "f.term", "f.tf").where(F.col("tf") > 0)
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))  # a row for each query term; one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return scored.groupBy("key").agg(F.sum(part).alias("score"))
+def bm25(docs: DataFrame, key: str, columns: list[Column], query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score) of rows that hold a term of the query, or a longer word that begins with one, in any of the columns.
+
+    A row's length is that of all its columns. The idf is ln((N - n + 0.5) / (n + 0.5)), and a millionth where that isn't positive. A term with
+    underscores is its parts one after another. N, the mean length and each term's n come from one aggregate of one row; a second pass scores.
+    """
+    words = sorted({tuple(p for p in w.split("_") if p) for w in tx.query_terms(query)} - {()})
+    if not words:
+        return docs.select(F.col(key).alias("key"), F.lit(0.0).alias("score")).limit(0)
+
+    def tf(parts: tuple[str, ...]) -> Column:
+        if len(parts) == 1:
+            return F.size(F.filter("terms", lambda t: t.startswith(parts[0])))
+        at = F.sequence(F.lit(0), F.size("terms") - len(parts))
+        here = lambda i: F.get("terms", i + len(parts) - 1).startswith(parts[-1])
+        for n, p in enumerate(parts[:-1]):
+            here = lambda i, f=here, n=n, p=p: f(i) & (F.get("terms", i + n) == p)
+        return F.when(F.size("terms") >= len(parts), F.size(F.filter(at, here))).otherwise(0)
+
+    found = docs.select(F.col(key).alias("key"), terms_of(*columns).alias("terms")).select("key", F.size("terms").alias("length"), *[tf(w).alias(f"tf{i}") for i, w in enumerate(words)])
+    totals = found.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
+    some, score = F.lit(False), F.lit(0.0)
+    for i in range(len(words)):
+        n, t = F.col(f"df{i}"), F.col(f"tf{i}")
+        idf = F.log((F.col("n") - n + 0.5) / (n + 0.5))
+        some = some | (t > 0)
+        score = score + F.when(idf > 0, idf).otherwise(1e-6) * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    return found.where(some).crossJoin(F.broadcast(totals)).select("key", score.alias("score"))  # totals is one row
 
 
 def hybrid(exact: DataFrame, full_text: DataFrame, limit: int = 20) -> DataFrame:

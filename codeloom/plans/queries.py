@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
-from codeloom.operators import budget, governance, graph, links, metrics, resolve, search, similarity
+from codeloom.operators import budget, context, governance, graph, links, metrics, resolve, search, similarity
 from codeloom.plans import adapters as ad
 from codeloom.plans.adapters import CTES, model, table
 
@@ -202,6 +202,30 @@ def pagerank_focus(spark: S, d: D) -> DataFrame:
     return graph.focus(m, graph.pagerank(m, iterations=5, tolerance=None), [START]).select("id", F.round("rank", 9).alias("rank"))
 
 
+_MAP = _PR.rstrip() + r""", cand AS (SELECT s.id, file_path, line_start, kind, name AS signature, qualified_name, round(rank, 9) AS rank FROM symbols s JOIN r5 USING (id) WHERE kind IN ('function', 'method', 'struct', 'class', 'enum', 'trait', 'interface')),
+placed AS (SELECT *, row_number() OVER w AS place, length('  L' || line_start || ': ' || signature || ' [' || kind || ']') + 1 + CASE WHEN lag(file_path) OVER w = file_path THEN 0 ELSE length(file_path) + 1 END AS cost FROM cand WINDOW w AS (ORDER BY rank DESC, qualified_name, id)),
+spent AS (SELECT *, sum(cost) OVER (ORDER BY place) AS total FROM placed)
+"""
+
+
+@query(_MAP + "SELECT CAST(place AS INTEGER) AS place, file_path, line_start, kind, signature FROM spent WHERE total <= 4 * 500")
+def map_ranked(spark: S, d: D) -> DataFrame:
+    """What a map of 500 tokens lists."""
+    m = model(spark, d)
+    ranks = graph.pagerank(m, iterations=5, tolerance=None).select("id", F.round("rank", 9).alias("rank"))
+    return context.ranked_map(m, ranks, 500).drop("rank")
+
+
+@query(
+    CTES
+    + f"""SELECT 'self' AS relation, name, file_path, complexity AS n FROM fans WHERE id = '{START}'
+UNION ALL SELECT 'caller', s.name, s.file_path, count(*) FROM edges e JOIN symbols s ON s.id = e.source_id WHERE e.kind = 'calls' AND e.target_id = '{START}' GROUP BY 2, 3
+UNION ALL SELECT 'callee', coalesce(t.name, e.target_name), coalesce(t.file_path, 'external'), count(*) FROM edges e LEFT JOIN symbols t ON t.id = e.target_id WHERE e.kind = 'calls' AND e.source_id = '{START}' GROUP BY 2, 3"""
+)
+def explain_symbol(spark: S, d: D) -> DataFrame:
+    return context.explain(model(spark, d), START)
+
+
 _RESOLVE = CTES.rstrip() + f""", f AS (SELECT s.*, language FROM symbols s JOIN files ON path = file_path WHERE kind IN ('function', 'method')),
 o AS (SELECT e.*, s.file_path AS s_file, l.language AS s_lang, coalesce(e.kind = 'uses' AND context LIKE '{ad.ITEM}%', false) AS item, regexp_replace(substr(context, {len(ad.ITEM) + 1}), '^(crate|self)::', '') AS ref FROM edges e LEFT JOIN symbols s ON s.id = e.source_id LEFT JOIN files l ON l.path = s.file_path),
 c0 AS (SELECT o.id, count(f.id) AS n, min(f.id) AS bound FROM o LEFT JOIN f ON f.kind = 'function' AND f.language = 'rust' AND f.name = o.target_name AND CASE WHEN contains(ref, '::') THEN f.file_path || '::' || f.name = ref OR ends_with(f.file_path || '::' || f.name, '::' || ref) ELSE ref = f.name END
@@ -336,32 +360,35 @@ def lexical_tokens(spark: S, d: D) -> DataFrame:
 #: Terms of the English half of documents, of middling and of low frequency.
 TERMS = "thanedble worthless anea"
 
-_BM25 = r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^A-Za-z0-9_]+'), lambda x: x <> '') AS terms FROM documents),
-tot AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM t),
-h AS (SELECT doc_id, len(terms) AS l, q.term, len(list_filter(terms, lambda x: x = q.term)) AS tf FROM t, (VALUES ('anea'), ('thanedble'), ('worthless')) q(term)),
-hit AS (SELECT * FROM h WHERE tf > 0), df AS (SELECT term, count(*) AS df FROM hit GROUP BY 1),
-bm AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) AS score FROM hit JOIN df USING (term), tot GROUP BY 1)
+def _bm25_sql(key: str, text: str, source: str, terms: tuple[str, ...]) -> str:
+    """Common table expressions up to bm (key, score): prefix terms, lengths over all columns."""
+    values = ", ".join(f"('{t}')" for t in terms)
+    return rf"""tk AS (SELECT {key}, list_filter(string_split_regex(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS terms FROM {source}),
+tot AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM tk),
+hit AS (SELECT {key}, len(terms) AS l, q.term, len(list_filter(terms, lambda x: starts_with(x, q.term))) AS tf FROM tk, (VALUES {values}) q(term) WHERE len(list_filter(terms, lambda x: starts_with(x, q.term))) > 0),
+df AS (SELECT term, count(*) AS df FROM hit GROUP BY 1),
+bm AS (SELECT {key}, sum(CASE WHEN (n - df + 0.5) / (df + 0.5) > 1 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) AS score FROM hit JOIN df USING (term), tot GROUP BY 1)
 """
 
 
+_BM25 = "WITH " + _bm25_sql("doc_id", "coalesce(text, '')", "documents", ("thanedble", "worthless", "anea"))
+
+
 @query(_BM25 + "SELECT doc_id, round(score, 6) AS score FROM bm")
 def bm25_search(spark: S, d: D) -> DataFrame:
-    return search.bm25(table(spark, d, "documents"), "doc_id", F.col("text"), TERMS).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+    return search.bm25(table(spark, d, "documents"), "doc_id", [F.col("text")], TERMS).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 _HYBRID = CTES.rstrip() + """, ex AS (SELECT id, CAST(CASE WHEN lower(name) = 'red' THEN 1.0 WHEN lower(name) LIKE 'red%' THEN 0.9 ELSE 0.7 END AS DOUBLE) AS score FROM symbols WHERE lower(name) LIKE '%red%'),
-t AS (SELECT id, string_split_regex(lower(name || ' ' || kind), '[^A-Za-z0-9_]+') AS terms FROM symbols), tot AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM t),
-hit AS (SELECT id, len(terms) AS l, q.term, len(list_filter(terms, lambda x: x = q.term)) AS tf FROM t, (VALUES ('red'), ('widget')) q(term) WHERE list_contains(terms, q.term)),
-df AS (SELECT term, count(*) AS df FROM hit GROUP BY 1),
-bm AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) AS r FROM hit JOIN df USING (term), tot GROUP BY 1),
-ft AS (SELECT id, round(r / (1 + r), 9) AS score FROM bm),
+""" + _bm25_sql("id", "concat_ws(' ', id, name, kind, brief)", "symbols", ("red", "widget")).rstrip() + """,
+ft AS (SELECT id, round(score / (1 + score), 9) AS score FROM bm),
 united AS (SELECT * FROM (SELECT * FROM ex ORDER BY score DESC, id LIMIT 10) UNION ALL SELECT * FROM (SELECT * FROM ft ORDER BY score DESC, id LIMIT 10))
 """
 
 
 def _hybrid(spark: S, d: D) -> DataFrame:
     s = ad.symbols(spark, d)
-    found = search.bm25(s, "id", F.concat("name", F.lit(" "), "kind"), "red widget").select(F.col("key").alias("id"), F.round(F.col("score") / (1 + F.col("score")), 9).alias("score"))
+    found = search.bm25(s, "id", [F.col("id"), F.col("name"), F.col("kind"), F.col("brief")], "red widget").select(F.col("key").alias("id"), F.round(F.col("score") / (1 + F.col("score")), 9).alias("score"))
     return search.hybrid(search.name_scores(s, "red"), found)
 
 
@@ -637,10 +664,14 @@ def imports_from_json(spark: S, d: D) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.size(parsed).cast("long").alias("n_links")).where(F.col("n_links") > 0)
 
 
-@query("SELECT lang, count(*) AS n, round(count(*) FILTER (WHERE regexp_matches(text, '^The[( !:]'))::DOUBLE / count(*), 9) AS fix_rate FROM documents GROUP BY 1")
+@query("SELECT count(*) AS commits, round(count(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / count(*), 9) AS fix_rate, round(count(*) FILTER (WHERE o_orderstatus = 'P')::DOUBLE / count(*), 9) AS revert_rate FROM orders")
 def revert_fix_rate(spark: S, d: D) -> DataFrame:
-    """The share of texts that begin with a mark, as of commits that are fixes."""
-    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("text").rlike("^The[( !:]")) / F.count("*"), 9).alias("fix_rate"))
+    """A history with an order for each commit; its status says how the subject begins."""
+    from codeloom.sources import gitlog
+
+    start = F.when(F.col("o_orderstatus") == "F", "fix(core): ").when(F.col("o_orderstatus") == "P", 'Revert "').otherwise("fixed ")
+    got = gitlog.rework(table(spark, d, "orders").select(F.concat(start, "o_orderpriority").alias("subject")))
+    return got.select("commits", F.round("fix_rate", 9).alias("fix_rate"), F.round("revert_rate", 9).alias("revert_rate"))
 
 
 @query(
@@ -686,9 +717,11 @@ def sql_surface(spark: S, d: D) -> DataFrame:
     return Surface(model(spark, d)).frame("CREATE TEMP TABLE k AS SELECT kind, count(*) AS n FROM v1.symbols GROUP BY kind; SELECT kind, n FROM k ORDER BY n DESC, kind LIMIT 3")
 
 
-@query(CTES + "SELECT path, language, size_bytes FROM files")
+@query("WITH p AS (SELECT regexp_replace(url, '^[a-z]+://', '') AS path, strlen(html) AS size FROM pages), q AS (SELECT *, string_split(path, '/') AS parts FROM p) SELECT CASE WHEN len(parts) > 2 THEN parts[1] ELSE path END AS entry, len(parts) > 2 AS collapsed, count(*) AS files, CAST(sum(size) AS BIGINT) AS size_bytes FROM q GROUP BY 1, 2")
 def tree_files(spark: S, d: D) -> DataFrame:
-    return ad.files(spark, d).select("path", "language", "size_bytes")
+    """Pages as files: those below one level of folders become a row for each folder."""
+    files = table(spark, d, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"), F.octet_length("html").cast("long").alias("size_bytes"))
+    return metrics.tree_collapse(files, 1)
 
 
 @query("SELECT label, CAST(64 AS INTEGER) AS dimension, count(*) AS n FROM embeddings GROUP BY 1")

@@ -20,13 +20,25 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def swap(df: DataFrame, path: str) -> None:
-    """Replaces a table: it is written beside, then renamed, so readers see the old one or the new one."""
-    spark, staged = df.sparkSession, f"{path}.{uuid.uuid4().hex}.tmp"
+    """Replaces a table by one that is written beside it; see _put."""
+    staged = f"{path}.{uuid.uuid4().hex}.tmp"
     df.write.parquet(staged)
+    _put(df.sparkSession, staged, path)
+
+
+def _put(spark: SparkSession, staged: str, path: str) -> None:
+    """Renames the table at `staged` to `path`. An old one moves aside first and is deleted last; if the new one can't take its place, it moves back. Between two renames there is no table at `path`, but none is lost: after a crash the old one is beside it, hidden, as .name.*.old."""
     fs, p = _fs(spark, path)
-    if fs.exists(p):
-        fs.delete(p, True)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(staged), p)
+    to = lambda name: spark._jvm.org.apache.hadoop.fs.Path(name)
+    aside = f"{p.getParent()}/.{p.getName()}.{uuid.uuid4().hex}.old" if fs.exists(p) else None
+    if aside and not fs.rename(p, to(aside)):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(to(staged), p):
+        if aside:
+            fs.rename(to(aside), p)
+        raise OSError(f"{staged} can't be moved to {path}")
+    if aside:
+        fs.delete(to(aside), True)
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -66,10 +78,7 @@ class Snapshots:
         for name, df in tables.items():
             stamped = df.select(F.lit(sha).alias("commit_sha"), F.lit(committed_at).cast("timestamp").alias("committed_at"), *df.columns)
             stamped.write.parquet(f"{staged}/{name}")
-        fs, p = _fs(self.spark, final)
-        if fs.exists(p):
-            fs.delete(p, True)
-        fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(staged), p)
+        _put(self.spark, staged, final)
         return True
 
     def backfill(self, commits: list[tuple[str, str]], capture) -> dict[str, str]:

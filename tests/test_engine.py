@@ -236,6 +236,37 @@ def test_git(spark):
     assert rows(gitlog.numstat(lines("1\t2\ta", "-\t-\tb")), "path", "added", "deleted") == [("a", 1, 2), ("b", 0, 0)]
 
 
+def test_map_and_explain(spark, chain):
+    from codeloom.operators import context
+
+    ranks = chain.symbols.select("id", F.lit(0.5).alias("rank"))
+    rows_ = context.ranked_map(chain, ranks, 1000).orderBy("place").collect()
+    assert len(rows_) == chain.symbols.where(F.col("kind").isin(*context.MAP_KINDS)).count() and context.ranked_map(chain, ranks, 0).count() == 0
+    whole = context.render_map(context.ranked_map(chain, ranks, 1000))
+    # Any budget gives the longest prefix that fits, counted on the text itself.
+    for tokens in range(1, len(whole) // 4 + 2):
+        got = context.render_map(context.ranked_map(chain, ranks, tokens)) if tokens % 7 == 0 else None
+        assert got is None or (len(got) <= 4 * tokens and whole.startswith(got))
+    assert context.render_map(context.ranked_map(chain, ranks, 1000), markdown=True).startswith("## ")
+    name = chain.symbols.first()["name"]
+    assert {r["relation"] for r in context.explain(chain, name).collect()} >= {"self"}
+    assert context.focus_ids(chain, "a.rs").count() and context.focus_ids(chain, "*.rs").count() == chain.symbols.count() and context.focus_ids(chain, name).count()
+
+
+def test_structures(spark, tmp_path):
+    from codeloom.operators import context
+
+    body = "def {f}({a}):\n    total = 0\n    for {b} in range({a}):\n        if {b} % 2 == 0:\n            total += {b} * {n}\n        else:\n            total -= {b}\n    return [total, {a}, '{f}', total * 2, total + {n}]\n"
+    (tmp_path / "x.py").write_text(body.format(f="one", a="n", b="i", n=3) + "\n\n" + body.format(f="two", a="count", b="k", n=77).replace("total -=", "total +=") + "\n\ndef small():\n    return 1\n")
+    found = files.discover(spark, str(tmp_path)).cache()
+    s = extract.symbols(found)
+    source = {r["name"]: r["source"] for r in context.source_of(found, s).collect()}
+    assert source["small"] == "def small():\n    return 1" and source["two"].startswith("def two(count):")
+    got = context.duplicate_functions(found, s, threshold=0.6).collect()
+    assert len(got) == 1 and 0.6 <= got[0]["similarity"] < 1 and {got[0]["a"].split("::")[1][:3], got[0]["b"].split("::")[1][:3]} == {"one", "two"}
+    assert context.structures(found, s).count() == 2
+
+
 def test_text():
     assert tx.glob_like("src/**/*.rs") == "src/%%.rs" and tx.normalise_path("a/./b/../c") == "a/c"
     assert tx.query_terms("Find the parse_file X") == ["parse_file"]
