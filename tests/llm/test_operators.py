@@ -363,6 +363,49 @@ def test_chat(spark):
         chat.parse("<|turn|>user\nno end")
 
 
+def test_chat_odd_rows(spark):
+    """Null conv_ids are one conversation; equal turns go by role and text; other columns are not carried; repeated rows stay."""
+    rows = [(None, 0, "user", "b", "x"), (None, 0, "assistant", "a", "x"), (None, None, "user", None, "x"), (7, 1, "user", "t", "x"), (7, 1, "user", "t", "x"), (7, 1, "assistant", "t</s>" * 20000, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns string")
+    got = {r["conv_id"]: r for r in chat.digests(df).collect()}
+    want = {None: [("user", ""), ("assistant", "a"), ("user", "b")], 7: [("assistant", "t</s>" * 20000), ("user", "t"), ("user", "t")]}
+    for c, turns in want.items():
+        assert (got[c]["n_turns"], got[c]["turns_sha256"]) == (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest())
+    assert chat.digests(df.limit(0)).count() == 0
+
+
+def test_label_model_against_plain_em():
+    """Expectation maximisation, one document at a time in plain Python."""
+    import math
+
+    rng = random.Random(13)
+    k = len(quality.LABELLERS)
+    docs = [sum((rng.random() < (0.6 if junk else 0.05)) << j for j in range(k)) for junk in [True] * 60 + [False] * 240]
+    patterns, counts = np.unique(np.array(docs), return_counts=True)
+    model = quality.LabelModel.fit(patterns, counts.astype(float), rounds=7)
+    p = [0.9 if d else 0.02 for d in docs]
+    for _ in range(7):
+        w = [[1 - x for x in p], p]
+        junk = (sum(w[1]) + 1) / (len(docs) + 2)
+        fire = [[(sum(x for x, d in zip(w[c], docs) if d >> j & 1) + 0.5) / (sum(w[c]) + 1.0) for c in (0, 1)] for j in range(k)]
+        logs = [[math.log(1 - junk), math.log(junk)] for _ in docs]
+        for i, d in enumerate(docs):
+            for j in range(k):
+                for c in (0, 1):
+                    logs[i][c] += math.log(fire[j][c] if d >> j & 1 else 1 - fire[j][c])
+        p = [1 / (1 + math.exp(a - b)) for a, b in logs]
+    assert np.allclose(model.posterior(np.array(docs)), p, atol=1e-6)
+    assert np.mean((np.array(p) > 0.5) == np.array([True] * 60 + [False] * 240)) > 0.9
+
+
+def test_quality_clashing_columns(spark):
+    df = frame(spark, texts(6, 12)).withColumn("p_weak", F.lit("mine")).withColumn("kept", F.lit("mine")).withColumn("other", F.lit(5))
+    got = quality.classify(df)
+    assert dict(got.dtypes)["p_weak"] == "double" and dict(got.dtypes)["kept"] == "boolean" and got.where("other = 5").count() == df.count()
+    twice = by_id(quality.classify(df)), by_id(quality.classify(df.union(df)).dropDuplicates(["doc_id"]))
+    assert set(twice[0]) == set(twice[1])
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.001"
     if not Path(sf).exists():
@@ -409,3 +452,7 @@ def test_bpe(spark):
     df = frame(spark, [*rows[:60], None, ""])
     back = by_id(bpe.decode(bpe.encode(df, path, P.PATTERN).drop("text"), path))
     assert all(back[i]["text"] == (t or "") for i, t in enumerate([*rows[:60], None, ""]))
+    odd = spark.createDataFrame([(1, "a b", "mine", "x"), (1, "a b", "mine", "x"), (None, None, "mine", "x")], "doc_id long, text string, ids string, n_tokens string")
+    rows = bpe.encode(odd, path, P.PATTERN).collect()
+    assert [len(r["ids"]) for r in rows if r["doc_id"] == 1] == [len(ref.encode_ordinary("a b"))] * 2 and [r["ids"] for r in rows if r["doc_id"] is None] == [[]]
+    assert bpe.encode(odd.limit(0), path, P.PATTERN).count() == 0
