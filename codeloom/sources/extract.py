@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +80,17 @@ def _patterns(path: str, language: str, source: str) -> tuple[list[tuple], list[
     return symbols, edges
 
 
+def broken(language: str | None, source: str) -> bool:
+    """Whether a file of a parsed language can't be parsed, as while it is being edited."""
+    if language != "python":
+        return False
+    try:
+        ast.parse(source)
+    except (SyntaxError, ValueError):
+        return True
+    return False
+
+
 def parse(path: str, language: str | None, source: str) -> tuple[list[tuple], list[tuple]]:
     """Symbols and edges of one file; a file that doesn't parse, or of another language, has none."""
     if language == "python":
@@ -114,3 +126,34 @@ def edges(files: DataFrame) -> DataFrame:
     raw = files.select("path", "language", "content").mapInPandas(_map(1, _names(EDGE)), EDGE)
     key = F.xxhash64("source_id", "target_name", "line", "context", "kind")
     return raw.withColumn("id", key).withColumn("target_id", F.lit(None).cast("string"))
+
+
+#: Rows of both kinds, and of files that don't parse, by one parse of each file.
+RECORD = f"path string, failed boolean, symbol struct<{SYMBOL.replace(' ', ':').replace(',:', ',')}>, edge struct<{EDGE.replace(' ', ':').replace(',:', ',')}>"
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = lambda text: pa.struct([(c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in text.split(", ")])
+    schema = pa.schema([("path", pa.string()), ("failed", pa.bool_()), ("symbol", kind(SYMBOL)), ("edge", kind(EDGE))])
+    named = lambda text, row: dict(zip(_names(text), row, strict=True))
+    for b in batches:
+        for r in b.to_pylist():
+            text = r["content"] or ""
+            s, e = parse(r["path"], r["language"], text)
+            rows = [{"path": r["path"], "failed": broken(r["language"], text)}]
+            rows += [{"path": r["path"], "failed": False, "symbol": named(SYMBOL, x)} for x in s] + [{"path": r["path"], "failed": False, "edge": named(EDGE, x)} for x in e]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+def records(files: DataFrame) -> DataFrame:
+    """(path, failed, symbol, edge) of files (path, language, content): a row for the file, then one for each symbol or edge. Write it before reading either kind, and each file is parsed once."""
+    ship(files.sparkSession)
+    return files.select("path", "language", "content").mapInArrow(_records, RECORD)
+
+
+def of_kind(rows: DataFrame, kind: str) -> DataFrame:
+    """The symbols, or the edges as edges() gives them, of records."""
+    found = rows.where(F.col(kind).isNotNull()).select(f"{kind}.*")
+    if kind == "symbol":
+        return found
+    return found.withColumn("id", F.xxhash64("source_id", "target_name", "line", "context", "kind")).withColumn("target_id", F.lit(None).cast("string"))

@@ -59,6 +59,48 @@ def without(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame) -> dict[s
     return {name: df.join(g, df[c] == g["gone_path"], "left_anti") for name, (df, c) in tables.items()}
 
 
+def cascade(files: DataFrame, symbols: DataFrame, edges: DataFrame, by_symbol: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """All relations without the files of gone (path): their symbols go, edges from these, and rows of by_symbol (symbol_id) such as ranks, embeddings and fingerprints. Edges to them stay, by name."""
+    kept = without({"files": (files, "path"), "symbols": (symbols, "file_path")}, gone)
+    lost = symbols.join(gone.select(F.col("path").alias("gone_path")).distinct(), F.col("file_path") == F.col("gone_path"), "left_semi").select(F.col("id").alias("lost_id"))
+    rest = edges.join(lost, F.col("source_id") == F.col("lost_id"), "left_anti")
+    dead = lost.select("lost_id", F.lit(True).alias("__dead"))
+    kept["edges"] = rest.join(dead, F.col("target_id") == F.col("lost_id"), "left").withColumn("target_id", F.when(F.col("__dead").isNull(), F.col("target_id"))).select(*edges.columns)
+    return kept | {name: df.join(lost, F.col("symbol_id") == F.col("lost_id"), "left_anti") for name, df in by_symbol.items()}
+
+
+def without_embeddings(embeddings: DataFrame, provider: str, model: str | None = None) -> DataFrame:
+    """embeddings but those of a provider, or of one of its models."""
+    own = F.col("provider") == provider
+    return embeddings.where(~F.coalesce(own if model is None else own & (F.col("model") == model), F.lit(False)))
+
+
+def other_providers(embeddings: DataFrame, provider: str, model: str) -> DataFrame:
+    """(provider, model, n) of embeddings that a search by this provider and model can't compare with."""
+    same = F.col("provider").eqNullSafe(provider) & F.col("model").eqNullSafe(model)
+    return embeddings.where(~same).groupBy("provider", "model").agg(F.count("*").alias("n"))
+
+
+class RankCache:
+    """Ranks (id, rank) beside an index. They are of no use once the number of symbols is another; load gives None then."""
+
+    def __init__(self, spark: SparkSession, at: str):
+        self.spark, self.at = spark, at
+
+    def store(self, ranks: DataFrame) -> None:
+        swap(ranks.select("id", "rank"), self.at)
+
+    def load(self, symbols: int) -> DataFrame | None:
+        if not exists(self.spark, self.at):
+            return None
+        found = self.spark.read.schema("id string, rank double").parquet(self.at)
+        return found if found.count() == symbols else None
+
+    def clear(self) -> None:
+        fs, p = _fs(self.spark, self.at)
+        fs.delete(p, True)
+
+
 def guard_scope(found: DataFrame, indexed: DataFrame) -> None:
     """Refuses a scope without files while the index has some."""
     if found.isEmpty() and not indexed.isEmpty():
@@ -113,6 +155,11 @@ def read_gate_log(spark: SparkSession, at: str) -> DataFrame:
     return spark.read.schema(GATE_LOG).json(at)
 
 
+def stream_gate_log(spark: SparkSession, at: str) -> DataFrame:
+    """The gate log as a stream; each evaluation is a new file."""
+    return spark.readStream.schema(GATE_LOG).json(at)
+
+
 def envelope(df: DataFrame, command: str, version: str, generated_at: str) -> DataFrame:
     """One row, json: version, command, generated_at and the rows as data. For reports, which are short."""
     return df.agg(F.collect_list(F.struct(*df.columns)).alias("data")).select(F.to_json(F.struct(F.lit(version).alias("version"), F.lit(command).alias("command"), F.lit(generated_at).alias("generated_at"), "data")).alias("json"))
