@@ -657,11 +657,13 @@ def json_props(spark: S, d: D) -> DataFrame:
 
 @query("SELECT page_id, count(*) AS n_links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) FROM pages) GROUP BY 1")
 def imports_from_json(spark: S, d: D) -> DataFrame:
-    """References out of a page, as a module's imports: extracted, written as JSON, parsed back, and counted; pages without any are skipped."""
+    """A page as a module whose imports, in JSON, are its references; pages without any are skipped."""
+    from codeloom.operators.imports import file_imports
+
     found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)
     as_json = F.to_json(F.transform(found, lambda u: F.struct(u.alias("from"), F.array().cast("array<string>").alias("names"))))
-    parsed = F.from_json(as_json, "array<struct<from:string,names:array<string>>>")
-    return table(spark, d, "pages").select("page_id", F.size(parsed).cast("long").alias("n_links")).where(F.col("n_links") > 0)
+    modules = table(spark, d, "pages").select(F.col("page_id").alias("file_path"), as_json.alias("imports"))
+    return file_imports(modules).groupBy(F.col("file_path").alias("page_id")).agg(F.count("*").alias("n_links"))
 
 
 @query("SELECT count(*) AS commits, round(count(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / count(*), 9) AS fix_rate, round(count(*) FILTER (WHERE o_orderstatus = 'P')::DOUBLE / count(*), 9) AS revert_rate FROM orders")

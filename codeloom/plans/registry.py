@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from codeloom.plans import lookups  # noqa: F401 - adds its queries
 from codeloom.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -111,7 +111,7 @@ def _escaped(c: Column, attribute: bool = False) -> Column:
 def documents(contents: DataFrame, form: str = "xml", tree: str | None = None) -> DataFrame:
     """Files (path, content) as one text in order of paths: XML, markdown, plain, or a JSON object a line. A null content is empty; outer white space goes. Each file is a row that one task makes."""
     _known(form, DOCUMENTS)
-    path, body = F.col("path"), F.regexp_replace(F.coalesce("content", F.lit("")), r"^\s+|\s+\z", "")
+    path, body = F.col("path"), F.regexp_replace(F.coalesce("content", F.lit("")), r"(?U)^\s+|\s+\z", "")
     shown = F.concat(F.lit("/"), F.ltrim(path, F.lit("/")))
     if form == "xml":
         text = F.concat(F.lit('<file name="'), _escaped(_short("path"), True), F.lit('" path="'), _escaped(shown, True), F.lit('">\n'), _escaped(body), F.lit("\n</file>"))
