@@ -14,6 +14,14 @@ from codeloom.model import CALLABLES, CodeModel
 from codeloom.operators import links
 
 
+#: The keys of each group's rules, and those of them that must be there.
+RULE_KEYS = {
+    "forbidden": (("from", "to"), ("reason",)), "allowed_dependents": (("layer", "only"), ("reason",)),
+    "limit": (("metric", "max"), ("scope", "exclude")), "no_new_dependents": (("paths",), ("reason",)),
+}
+LIMITED, SCOPES = ("complexity", "fan_in", "fan_out", "file_symbols"), ("symbol", "file")
+
+
 class RuleError(ValueError):
     """A rules file that can't be used."""
 
@@ -34,9 +42,20 @@ class Rules:
         if data.pop("version", 1) != 1:
             raise RuleError("unknown version of the rules")
         layers = {k: v["paths"] if isinstance(v, dict) else v for k, v in data.pop("layers", {}).items()}
-        groups = {k: data.pop(k, []) for k in ("forbidden", "allowed_dependents", "limit", "no_new_dependents")}
-        if data:
-            raise RuleError(f"unknown keys: {', '.join(sorted(data))}")
+        # Groups may be in a table of their own, rules, or at the top.
+        inner = data.pop("rules", {})
+        groups = {k: inner.pop(k, []) + data.pop(k, []) for k in RULE_KEYS}
+        if data or inner:
+            raise RuleError(f"unknown keys: {', '.join(sorted({*data, *inner}))}")
+        for group, (needed, more) in RULE_KEYS.items():
+            for r in groups[group]:
+                if missing := [k for k in needed if k not in r]:
+                    raise RuleError(f"{group}: {', '.join(missing)} missing")
+                if extra := sorted({*r} - {*needed, *more}):
+                    raise RuleError(f"{group}: unknown keys: {', '.join(extra)}")
+        for r in groups["limit"]:
+            if r["metric"] not in LIMITED or r.get("scope", "symbol") not in SCOPES:
+                raise RuleError(f"limit: unknown metric or scope: {r['metric']}, {r.get('scope', 'symbol')}")
         rules = cls(layers, **groups)
         for r in [*rules.forbidden, *rules.allowed_dependents]:
             for name in [r.get("from"), r.get("to"), r.get("layer"), *r.get("only", [])]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions import text as tx
 from codeloom.model import RANKED_EDGES, CodeModel
 
 
@@ -80,14 +81,44 @@ def callers(m: CodeModel, symbol: str, max_depth: int = 3) -> DataFrame:
     return found.join(m.symbols, F.col("node") == F.col("id")).select("id", "name", "file_path", F.col("depth").cast("int").alias("distance"))
 
 
+def evidence(context: F.Column, name: F.Column, qualified: F.Column) -> F.Column:
+    """Whether a call's text speaks for a symbol: one with a qualified name of its own must be called by it; any other by its bare name somewhere, not after ::, . or ->, and a call without text will do."""
+    own = qualified.isNotNull() & (qualified != name)
+    bare = F.rlike(context, F.concat(F.lit(r"(?<!(?:::|\.|->)\s{0,80})\Q"), name, F.lit(r"\E")))
+    return F.when(own, F.coalesce(F.contains(context, qualified), F.lit(False))).otherwise(context.isNull() | bare)
+
+
 def unresolved_callers(m: CodeModel, symbol: str) -> DataFrame:
-    """Calls by name only, from files of the symbol's language: evidence, not links."""
-    one = m.symbols.where(F.col("id") == symbol).select(F.col("name").alias("target_name"), F.col("file_path").alias("path")).join(m.files, "path").select("target_name", F.col("language").alias("own"))
+    """Calls by name only, from files of the symbol's language, whose text speaks for it: evidence, not links."""
+    one = m.symbols.where(F.col("id") == symbol).select(F.col("name").alias("target_name"), "qualified_name", F.col("file_path").alias("path")).join(m.files, "path").select("target_name", F.col("qualified_name").alias("own_name"), F.col("language").alias("own"))
     source = m.symbols.select(F.col("id").alias("source_id"), "name", "file_path")
-    lines = m.calls().where(F.col("target_id").isNull()).join(one, "target_name").join(source, "source_id")
+    text = F.col("context") if "context" in m.edges.columns else F.lit(None).cast("string")
+    lines = m.calls().where(F.col("target_id").isNull()).join(one, "target_name").where(evidence(text, F.col("target_name"), F.col("own_name"))).join(source, "source_id")
     return lines.join(m.files.select(F.col("path").alias("file_path"), "language"), "file_path").where(F.col("language").eqNullSafe(F.col("own"))).select("source_id", "name", "file_path", "line")
 
 
+class Ambiguous(ValueError):
+    """A name that several symbols have; it holds them, as (id, file_path)."""
+
+    def __init__(self, found: list[tuple[str, str]]):
+        super().__init__("several symbols: " + ", ".join(f"{i} in {p}" for i, p in found))
+        self.found = found
+
+
+def one_symbol(m: CodeModel, text: str, patterns: list[str] | None = None, show: int = 100) -> str:
+    """The id that text means: an id, or the only symbol of that name; among files that fit the patterns the first. Else LookupError, or Ambiguous with up to `show` symbols."""
+    if m.symbols.where(F.col("id") == text).limit(1).count():
+        return text
+    named = m.symbols.where((F.col("name") == text) | (F.col("qualified_name") == text))
+    named = named if patterns is None else named.where(tx.matches(F.col("file_path"), patterns))
+    found = [(r["id"], r["file_path"]) for r in named.orderBy("file_path", "line_start", "id").limit(show).collect()]
+    if not found:
+        raise LookupError(text)
+    if len(found) > 1 and patterns is None:
+        raise Ambiguous(found)
+    return found[0][0]
+
+
 def deps(m: CodeModel, symbol: str, max_depth: int = 3) -> DataFrame:
     """What a symbol depends on by edges of any kind; unresolved targets are leaves, by name."""
     node = F.coalesce("target_id", F.concat(F.lit("?"), F.col("target_name")))

@@ -15,6 +15,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: What traversals start from, a symbol that is there at every scale.
 START = "7"
+#: A symbol that some calls name without being bound to it.
+NAMED = "70"
 
 
 def query(sql: str | None = None):
@@ -168,9 +170,9 @@ def deps_bfs(spark: S, d: D) -> DataFrame:
     return graph.deps(model(spark, d), START, 2)
 
 
-@query(CTES + f"SELECT s.id AS source_id, s.name, s.file_path, e.line FROM edges e JOIN symbols s ON e.source_id = s.id JOIN files f ON f.path = s.file_path WHERE e.kind = 'calls' AND e.target_id IS NULL AND e.target_name = (SELECT name FROM symbols WHERE id = '{START}') AND f.language = (SELECT language FROM files JOIN symbols ON path = file_path WHERE id = '{START}')")
+@query(CTES + f"SELECT s.id AS source_id, s.name, s.file_path, e.line FROM edges e JOIN symbols s ON e.source_id = s.id JOIN files f ON f.path = s.file_path WHERE e.kind = 'calls' AND e.target_id IS NULL AND e.target_name = (SELECT name FROM symbols WHERE id = '{NAMED}') AND contains(e.context, (SELECT qualified_name FROM symbols WHERE id = '{NAMED}')) AND f.language = (SELECT language FROM files JOIN symbols ON path = file_path WHERE id = '{NAMED}')")
 def unresolved_callers(spark: S, d: D) -> DataFrame:
-    return graph.unresolved_callers(model(spark, d), START)
+    return graph.unresolved_callers(model(spark, d), NAMED)
 
 
 _PR = (

@@ -128,13 +128,45 @@ def edges(files: DataFrame) -> DataFrame:
     return raw.withColumn("id", key).withColumn("target_id", F.lit(None).cast("string"))
 
 
-#: Rows of both kinds, and of files that don't parse, by one parse of each file.
-RECORD = f"path string, failed boolean, symbol struct<{SYMBOL.replace(' ', ':').replace(',:', ',')}>, edge struct<{EDGE.replace(' ', ':').replace(',:', ',')}>"
+#: How a file of each language names others; a pattern's first group that fits is the specifier.
+_IMPORT = {
+    "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([\w:]+)",
+    "typescript": r"(?:\bfrom|\bimport|\brequire\s*\(|\bimport\s*\()\s*['\"]([^'\"\n]+)['\"]",
+    "go": r"^(?:import\s+|\s+)(?:[\w.]+\s+)?\"([^\"\n]+)\"\s*$",
+    "zig": r"@import\(\"([^\"\n]+)\"\)",
+    "solidity": r"^\s*import\b[^;'\"]*['\"]([^'\"\n]+)['\"]",
+    "c": r"^\s*#\s*include\s*(?:\"([^\"\n]+)\"|(<[^>\n]+>))",
+}
+_IMPORT |= {"javascript": _IMPORT["typescript"], "cpp": _IMPORT["c"]}
+
+
+def imports(language: str | None, source: str) -> list[str]:
+    """What a file imports, as it is written there, in order and without repeats; of a Rust group its common start."""
+    if language == "python":
+        try:
+            nodes = list(ast.walk(ast.parse(source)))
+        except (SyntaxError, ValueError):
+            return []
+        found = [a.name for n in nodes if isinstance(n, ast.Import) for a in n.names]
+        for n in nodes:
+            if isinstance(n, ast.ImportFrom):
+                base = "." * n.level + (n.module or "")
+                # A name may be a module of the package, so it is asked for too.
+                found += [base] + [f"{base}{'' if base.endswith('.') else '.'}{a.name}" for a in n.names if a.name != "*"]
+    elif language in _IMPORT:
+        found = [next(g for g in m.groups() if g).rstrip(":") for m in re.finditer(_IMPORT[language], source, re.MULTILINE)]
+    else:
+        return []
+    return list(dict.fromkeys(found))
+
+
+#: Rows of all kinds, and of files that don't parse, by one parse of each file.
+RECORD = f"path string, failed boolean, symbol struct<{SYMBOL.replace(' ', ':').replace(',:', ',')}>, edge struct<{EDGE.replace(' ', ':').replace(',:', ',')}>, spec string"
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = lambda text: pa.struct([(c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in text.split(", ")])
-    schema = pa.schema([("path", pa.string()), ("failed", pa.bool_()), ("symbol", kind(SYMBOL)), ("edge", kind(EDGE))])
+    schema = pa.schema([("path", pa.string()), ("failed", pa.bool_()), ("symbol", kind(SYMBOL)), ("edge", kind(EDGE)), ("spec", pa.string())])
     named = lambda text, row: dict(zip(_names(text), row, strict=True))
     for b in batches:
         for r in b.to_pylist():
@@ -142,11 +174,12 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, e = parse(r["path"], r["language"], text)
             rows = [{"path": r["path"], "failed": broken(r["language"], text)}]
             rows += [{"path": r["path"], "failed": False, "symbol": named(SYMBOL, x)} for x in s] + [{"path": r["path"], "failed": False, "edge": named(EDGE, x)} for x in e]
+            rows += [{"path": r["path"], "failed": False, "spec": x} for x in imports(r["language"], text)]
             yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def records(files: DataFrame) -> DataFrame:
-    """(path, failed, symbol, edge) of files (path, language, content): a row for the file, then one for each symbol or edge. Write it before reading either kind, and each file is parsed once."""
+    """(path, failed, symbol, edge, spec) of files (path, language, content): a row for the file, then one for each symbol, edge or import. Write it before reading either kind, and each file is parsed once."""
     ship(files.sparkSession)
     return files.select("path", "language", "content").mapInArrow(_records, RECORD)
 

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.model import CodeModel
-from codeloom.operators import governance, imports, links, lookup, revision
+from codeloom.operators import governance, graph, imports, links, lookup, revision
 from codeloom.plans import report
-from codeloom.sources import files, index, tables
+from codeloom.sources import extract, files, index, tables
 
 PATHS = (
     "src/lib.rs src/a/mod.rs src/a/b.rs src/c.rs web/app.ts web/ui/index.tsx web/x.js pkg/__init__.py pkg/m.py pkg/sub/n.py src/tool/z.py go/util/b.go go/util/a.go "
@@ -98,6 +98,9 @@ def test_index_follows_its_files(spark, tmp_path):
     assert again.update(files.discover(spark, str(src)), 3) == {"added": 1, "changed": 1, "removed": 0, "same": 1, "failed": 1}
     assert again.read("edges").first()["target_id"] == "p/c.py::two@1" and again.ranks.load(2) is None
     assert again.update(files.discover(spark, str(src)), 4, ["p/b.py"])["changed"] == 1  # it failed, so it is tried again
+    (src / "p/a.py").write_text("from p.c import two\nimport os\n\ndef one():\n    return two()\n")
+    again.update(files.discover(spark, str(src)), 4, ["p/a.py"])
+    assert [tuple(r) for r in again.imported_files().collect()] == [("p/a.py", "p/c.py")]
     (src / "p/b.py").unlink()
     assert again.update(files.discover(spark, str(src)), 5)["removed"] == 1
     assert {r["path"] for r in again.read("files").collect()} == {"p/a.py", "p/c.py"}
@@ -105,6 +108,42 @@ def test_index_follows_its_files(spark, tmp_path):
         again.update(files.discover(spark, str(src)).where("false"), 6)
 
 
+def test_what_files_import():
+    of = extract.imports
+    assert of("python", "import a.b, c\nfrom . import d\nfrom ..e import f\nfrom g import *\n") == ["a.b", "c", ".", ".d", "..e", "..e.f", "g"] and of("python", "def (") == []
+    assert of("rust", "use crate::a::B;\npub use super::{x, y};\n// use z;\n") == ["crate::a::B", "super"]
+    assert of("typescript", "import x from './a'\nimport './b'\nconst c = require(\"../c\")\nexport * from 'd'\n") == ["./a", "./b", "../c", "d"]
+    assert of("go", 'package m\nimport "fmt"\nimport (\n\t"a/b"\n\tq "c/d"\n)\n') == ["fmt", "a/b", "c/d"]
+    assert of("c", '#include "a.h"\n# include <b/c.h>\n') == ["a.h", "<b/c.h>"] and of(None, "x") == []
+    assert of("zig", 'const s = @import("std");') == ["std"] and of("solidity", 'import {A} from "./a.sol";\nimport "./b.sol";') == ["./a.sol", "./b.sol"]
+
+
+def test_evidence_of_callers(spark):
+    rows = [("run(1)", "run", "run"), ("x.run(1)", "run", "run"), ("x -> run()", "run", "run"), ("a::run()", "run", "run"), ("x.run(run())", "run", "run"), (None, "run", "run"), ("T::run()", "run", "T::run"), ("run()", "run", "T::run"), (None, "run", "T::run")]
+    df = spark.createDataFrame(rows, "c string, n string, q string")
+    got = [r[0] for r in df.select(graph.evidence(F.col("c"), F.col("n"), F.col("q"))).collect()]
+    assert got == [True, False, False, False, True, True, True, False, False]
+
+
+def test_one_symbol_or_which(spark):
+    m = small(spark)
+    twice = CodeModel(m.symbols.unionByName(m.symbols.where("id = 'm'").withColumn("id", F.lit("m2")).withColumn("file_path", F.lit("z.rs"))), m.edges, m.files)
+    assert graph.one_symbol(twice, "m") == "m" and graph.one_symbol(twice, "run") == "r" and graph.one_symbol(twice, "main", ["z.rs"]) == "m2"
+    with pytest.raises(graph.Ambiguous) as e:
+        graph.one_symbol(twice, "main")
+    assert e.value.found == [("m", "a.rs"), ("m2", "z.rs")]
+    with pytest.raises(LookupError):
+        graph.one_symbol(twice, "nobody")
+
+
+def test_rules_refuse_what_they_do_not_know():
+    good = governance.Rules.parse('version = 1\n[layers]\na = ["a"]\nb = ["b"]\n[[rules.forbidden]]\nfrom = "a"\nto = "b"\nreason = "no"\n')
+    assert good.forbidden == [{"from": "a", "to": "b", "reason": "no"}]
+    for bad in ('[[rules.limit]]\nmetric = "fan_out"\nmax = 1\nmin = 2\n', '[[rules.limit]]\nmetric = "size"\nmax = 1\n', '[[rules.limit]]\nmetric = "fan_out"\n', "[rules]\nother = 1\n"):
+        with pytest.raises(governance.RuleError):
+            governance.Rules.parse(bad)
+
+
 def test_renderers(spark):
     m = small(spark)
     deps = links.file_dependencies(m)
