@@ -163,6 +163,15 @@ def test_renderers(spark):
     assert json.loads(report.audit(m, "json"))["scores"]["overall"] > 0 and "symbols" in report.stats(m)
 
 
+def test_ignore_files_nest(spark):
+    rules = [("", "*.log\n!keep.log\ngen/\n# note\n/top.py\n"), ("a", "!x.log\nsub/z.py\n")]
+    names = "x.log keep.log gen/b.py gen/keep.log top.py a/top.py a/x.log a/y.log a/sub/z.py a/deep/sub/z.py a/gen".split()
+    paths = spark.createDataFrame([(n,) for n in names], "path string")
+    got = {r[0] for r in paths.where(~files.layered_ignores(F.col("path"), rules)).collect()}
+    assert got == {"keep.log", "a/top.py", "a/x.log", "a/deep/sub/z.py", "a/gen"}
+    assert paths.where(files.layered_ignores(F.col("path"), [])).count() == 0
+
+
 def test_lookups_of_nothing(spark):
     m = small(spark)
     assert lookup.symbol(m, "nope").count() == 0 and [r[0] for r in lookup.symbol_ids(m, "a.rs").collect()] == ["m", "r"]
