@@ -38,8 +38,14 @@ def file_dependencies(m: CodeModel) -> DataFrame:
 
 
 def full_call_graph(m: CodeModel) -> DataFrame:
-    joined = with_source(with_targets(_grouped_calls(m), m.symbols), m.symbols)
-    return joined.select(F.col("s_name").alias("caller"), F.col("s_file").alias("caller_file"), F.coalesce("t_name", "target_name").alias("callee"), F.coalesce("t_file", F.lit("external")).alias("callee_file")).distinct()
+    """Distinct calls by names and files of both ends. Calls are folded by the caller's name and file, and symbols by name and file, before names join: each row of that join is one of the result."""
+    calls = with_source(m.calls(), m.symbols).select("s_name", "s_file", "target_id", "target_name")
+    ids = m.symbols.select(F.col("id").alias("target_id"), F.col("name").alias("t_name"), F.col("file_path").alias("t_file"))
+    names = m.symbols.select(F.col("name").alias("target_name"), F.col("name").alias("t_name"), F.col("file_path").alias("t_file")).distinct()
+    resolved = calls.where(F.col("target_id").isNotNull()).join(ids, "target_id", "left").drop("target_id")
+    named = calls.where(F.col("target_id").isNull()).drop("target_id").distinct().join(names, "target_name", "left")
+    both = resolved.unionByName(named)
+    return both.select(F.col("s_name").alias("caller"), F.col("s_file").alias("caller_file"), F.coalesce("t_name", "target_name").alias("callee"), F.coalesce("t_file", F.lit("external")).alias("callee_file")).distinct()
 
 
 def recursive_functions(m: CodeModel) -> DataFrame:

@@ -277,3 +277,34 @@ def test_queries_have_names_and_oracles():
 
     found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(found) and len(sql) > 60
+
+
+def widest(df):
+    """The most rows that an operator of df's plan made."""
+    df.collect()
+
+    def walk(p):
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            yield from walk(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            yield from walk(p.plan())
+        rows = p.metrics().get("numOutputRows")
+        if rows.isDefined():
+            yield rows.get().value()
+        for i in range(p.children().size()):
+            yield from walk(p.children().apply(i))
+
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def shared_names(spark):
+    """300 functions of one name in two files, each with an open call of that name."""
+    return make(spark, [(str(i), "ab"[i % 2], "run", "function", i) for i in range(300)], [(str(i), None, "run", "calls") for i in range(300)])
+
+
+def test_call_graph_of_shared_names(spark):
+    m = shared_names(spark)
+    got = links.full_call_graph(m)
+    assert rows(got, "caller", "caller_file", "callee", "callee_file") == [("run", x, "run", y) for x in "ab" for y in "ab"]
+    assert widest(got) < 2000
