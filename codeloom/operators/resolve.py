@@ -5,25 +5,24 @@ Each pass sees the edges that earlier ones left, and binds an edge only to a sin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.model import CALLABLES
+from codeloom.operators.graph import cut
 
 #: Marks, in the context of a `uses` edge, a name that stands where a function may be passed as a value.
 ITEM = "rust-function-item:"
 
 
-def _counted(open_edges: DataFrame, candidates: DataFrame, on: Column, how: str = "inner") -> DataFrame:
-    """(id, n, bound): how many candidates (c_id) each edge has, and the least of them."""
-    return open_edges.join(candidates, on, how).groupBy("id").agg(F.count("c_id").alias("n"), F.min("c_id").alias("bound"))
+#: A table of so many rows at most goes to all executors.
+SMALL = 100_000
 
 
-def _bind(edges: DataFrame, found: DataFrame, number: int) -> DataFrame:
-    """edges with the targets of found (id, n, bound) where n is 1, and the pass that bound them."""
-    fresh = F.col("target_id").isNull() & F.col("bound").isNotNull()
-    joined = edges.join(found.where(F.col("n") == 1).select("id", "bound"), "id", "left")
-    return joined.withColumn("resolved_by", F.when(fresh, number).otherwise(F.col("resolved_by"))).withColumn("target_id", F.coalesce("target_id", "bound")).drop("bound")
+def _small(df: DataFrame) -> DataFrame:
+    """df, computed once, and broadcast to joins where it has few rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def unique_names(symbols: DataFrame) -> DataFrame:
@@ -32,17 +31,36 @@ def unique_names(symbols: DataFrame) -> DataFrame:
     return f.groupBy(F.col("name").alias("u_name")).agg(F.count("*").alias("n"), F.min("id").alias("u_id")).where(F.col("n") == 1).drop("n")
 
 
-def function_items(edges: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """(id, n, bound) of open references to Rust functions as values: a bare name means any free function of that name, a path one whose file's module path ends in it."""
+def function_items(texts: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(target_name, context, n0, b0): how many Rust functions each reference to a function as a value fits, and the least of them. A bare name means any free function of that name, a path one whose file's module path ends in it.
+
+    Functions are folded by name and by each ending of their path, so that a reference meets one row at most.
+    """
     rust = files.where(F.col("language") == "rust").select(F.col("path").alias("file_path"))
-    sources = symbols.join(rust, "file_path", "left_semi").select(F.col("id").alias("source_id"))
-    asked = edges.where(F.col("target_id").isNull() & (F.col("kind") == "uses") & F.col("context").startswith(ITEM)).join(sources, "source_id", "left_semi")
-    asked = asked.select("id", "target_name", F.substring("context", len(ITEM) + 1, 1 << 20).alias("reference"))
+    reference = F.substring("context", len(ITEM) + 1, 1 << 20)
+    path = F.contains(reference, F.lit("::"))
+    asked = texts.where(F.col("context").startswith(ITEM)).select("target_name", "context", path.alias("path"), F.when(path, F.regexp_replace(reference, "^(crate|self)::", "")).otherwise(reference).alias("tail"))
     module = F.regexp_replace(F.regexp_replace("file_path", r"(/mod\.rs|\.rs)$", ""), r"[/\\]", "::")
-    f = symbols.where(F.col("kind") == "function").join(rust, "file_path", "left_semi").select(F.col("id").alias("c_id"), F.col("name").alias("c_name"), F.concat(module, F.lit("::"), "name").alias("c_path"))
-    tail = F.regexp_replace("reference", "^(crate|self)::", "")
-    fits = F.when(~F.contains("reference", F.lit("::")), F.col("reference") == F.col("c_name")).otherwise((F.col("c_path") == tail) | F.col("c_path").endswith(F.concat(F.lit("::"), tail)))
-    return _counted(asked, f, (F.col("target_name") == F.col("c_name")) & fits, "left")
+    f = symbols.where(F.col("kind") == "function").join(rust, "file_path", "left_semi").groupBy(F.col("name").alias("target_name"), F.concat(module, F.lit("::"), "name").alias("whole")).agg(F.count("*").alias("n"), F.min("id").alias("b"))
+    apart = F.filter(F.sequence(F.lit(1), F.length("whole")), lambda i: F.substr("whole", i, F.lit(2)) == "::")
+    endings = F.array_distinct(F.concat(F.array("whole"), F.transform(apart, lambda i: F.substr("whole", i + 2))))
+    bare = f.select("target_name", F.lit(False).alias("path"), F.col("target_name").alias("tail"), "n", "b")
+    paths = f.select("target_name", F.lit(True).alias("path"), F.explode(endings).alias("tail"), "n", "b")
+    fits = bare.unionByName(paths).groupBy("target_name", "path", "tail").agg(F.sum("n").alias("n0"), F.min("b").alias("b0"))
+    return asked.join(fits, ["target_name", "path", "tail"]).select("target_name", "context", "n0", "b0")
+
+
+def _hints(edges: DataFrame, symbols: DataFrame, files: DataFrame | None, f: DataFrame) -> DataFrame:
+    """(h_name, h_context, n0, b0, b1, b2) for the distinct names and contexts of open edges: what passes 0, 1 and 2 find. Candidates are folded by what the passes compare, so that their number counts once and not for each edge."""
+    texts = cut(edges.where(F.col("target_id").isNull() & F.col("context").isNotNull()).select("target_name", "context").distinct())
+    whole = f.groupBy(F.col("c_qname").alias("context")).agg(F.count("*").alias("n"), F.min("c_id").alias("b1")).where(F.col("n") == 1).drop("n")
+    named = f.groupBy("c_name", "c_qname").agg(F.count("*").alias("n"), F.min("c_id").alias("b2"))
+    holds = (F.col("target_name") == F.col("c_name")) & F.ilike("context", F.concat(F.lit("%"), F.col("c_qname"), F.lit("%")))
+    held = texts.join(named, holds).groupBy("target_name", "context").agg(F.sum("n").alias("n"), F.min("b2").alias("b2")).where(F.col("n") == 1).drop("n")
+    out = texts.join(whole, "context", "left").join(held, ["target_name", "context"], "left")
+    items = function_items(texts, symbols, files) if files is not None else None
+    out = out.join(items, ["target_name", "context"], "left") if items is not None else out.withColumn("n0", F.lit(None).cast("long")).withColumn("b0", F.lit(None).cast("string"))
+    return out.select(F.col("target_name").alias("h_name"), F.col("context").alias("h_context"), "n0", "b0", "b1", "b2")
 
 
 def resolve(edges: DataFrame, symbols: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -55,22 +73,36 @@ def resolve(edges: DataFrame, symbols: DataFrame, files: DataFrame | None = None
     """
     f = symbols.where(F.col("kind").isin(*CALLABLES)).select(F.col("id").alias("c_id"), F.col("name").alias("c_name"), F.col("qualified_name").alias("c_qname"))
     edges = edges.withColumn("resolved_by", F.lit(None).cast("int"))
+    sources = symbols.select(F.col("id").alias("source_id"), F.col("file_path").alias("s_file"))
     item = F.lit(False)
     if "context" in edges.columns:
         item = F.coalesce((F.col("kind") == "uses") & F.col("context").startswith(ITEM), F.lit(False))
+        hints = _small(_hints(edges, symbols, files, f).withColumn("h_salt", F.lit(-1).cast("long")))
         if files is not None:
-            found = function_items(edges, symbols, files)
-            edges = _bind(edges, found, 0).join(found.where(F.col("n") == 0).select("id"), "id", "left_anti")
-        unbound = lambda e: e.where(F.col("target_id").isNull() & F.col("context").isNotNull() & ~item)
-        edges = _bind(edges, _counted(unbound(edges), f, F.col("context") == F.col("c_qname")), 1)
-        edges = _bind(edges, _counted(unbound(edges), f, (F.col("target_name") == F.col("c_name")) & F.ilike("context", F.concat(F.lit("%"), F.col("c_qname"), F.lit("%")))), 2)
-    names = unique_names(symbols)
+            rust = files.where(F.col("language") == "rust").select(F.col("path").alias("s_file"), F.lit(True).alias("s_rust"))
+            sources = sources.join(rust, "s_file", "left")
+        open_context = F.col("target_id").isNull() & F.col("context").isNotNull()
+        # Edges without hints have a salt of their own, so that they don't meet in one task.
+        salt = F.when(open_context, F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.lit(1 << 20))).cast("long")
+        edges = edges.join(sources, "source_id", "left").withColumn("e_salt", salt)
+        edges = edges.join(hints, (F.col("e_salt") == F.col("h_salt")) & F.col("target_name").eqNullSafe(F.col("h_name")) & F.col("context").eqNullSafe(F.col("h_context")), "left").drop("e_salt", "h_salt", "h_name", "h_context")
+        bound = F.coalesce("b1", "b2")
+        number = F.when(F.col("b1").isNotNull(), 1).when(F.col("b2").isNotNull(), 2)
+        fresh = F.col("target_id").isNull() & ~item
+        if files is not None:
+            asked = F.col("target_id").isNull() & item & F.coalesce("s_rust", F.lit(False))
+            edges = edges.where(~(asked & (F.coalesce("n0", F.lit(0)) == 0)))
+            one = asked & (F.col("n0") == 1)
+            bound, number, fresh = F.when(asked, F.col("b0")).otherwise(bound), F.when(asked, 0).otherwise(number), fresh | one
+        edges = edges.withColumn("resolved_by", F.when(fresh, number)).withColumn("target_id", F.when(fresh, bound).otherwise(F.col("target_id"))).drop("n0", "b0", "b1", "b2", "s_rust")
+    else:
+        edges = edges.join(sources, "source_id", "left")
+    names = _small(unique_names(symbols))
     open_ = F.col("target_id").isNull() & ~item
     edges = edges.join(names, F.col("target_name") == F.col("u_name"), "left").withColumn("resolved_by", F.when(open_ & F.col("u_id").isNotNull(), 3).otherwise(F.col("resolved_by")))
     edges = edges.withColumn("target_id", F.when(open_, F.col("u_id")).otherwise(F.col("target_id"))).drop("u_name", "u_id")
     local = symbols.where(F.col("kind").isin(*CALLABLES)).groupBy(F.col("file_path").alias("l_file"), F.col("name").alias("l_name")).agg(F.count("*").alias("n"), F.min("id").alias("l_id"), F.min("qualified_name").alias("l_qname")).where(F.col("n") == 1).drop("n")
-    sources = symbols.select(F.col("id").alias("source_id"), F.col("file_path").alias("s_file"))
-    edges = edges.join(sources, "source_id", "left").join(local, (F.col("target_name") == F.col("l_name")) & (F.col("s_file") == F.col("l_file")), "left")
+    edges = edges.join(_small(local), (F.col("target_name") == F.col("l_name")) & (F.col("s_file") == F.col("l_file")), "left")
     own = F.lit(True)
     if "context" in edges.columns:
         after = lambda mark: F.ilike("context", F.concat(F.lit(f"%{mark}"), F.col("target_name"), F.lit("(%")))

@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from codeloom.functions import lexer, text as tx
+from codeloom.functions import lexer, text as tx, vectors
 from codeloom.model import CodeModel
 from codeloom.operators import budget, governance, graph, links, metrics, resolve, search, similarity
 from codeloom.plans.sqlsurface import Refused, Surface, render, split_statements
@@ -308,3 +309,17 @@ def test_call_graph_of_shared_names(spark):
     got = links.full_call_graph(m)
     assert rows(got, "caller", "caller_file", "callee", "callee_file") == [("run", x, "run", y) for x in "ab" for y in "ab"]
     assert widest(got) < 2000
+
+
+def test_resolution_of_shared_names(spark):
+    m = shared_names(spark)
+    text = F.element_at(F.array(*map(F.lit, ["a::run", "x = a::run(1)", "run("])), (F.col("id") % 3 + 1).cast("int"))
+    item = F.when(F.col("id") % 4 == 0, F.concat(F.lit(resolve.ITEM), F.lit("b::run"))).otherwise(text)
+    edges = m.edges.withColumn("context", item).withColumn("kind", F.when(F.col("id") % 4 == 0, "uses").otherwise("calls"))
+    one = spark.createDataFrame([("one", "c", "run", "c::run", "function")], "id string, file_path string, name string, qualified_name string, kind string")
+    more = edges.where("id = 1").withColumn("id", F.lit(1000).cast("long")).withColumn("context", F.lit("y = c::run()"))
+    symbols = m.symbols.select("id", "file_path", "name", "qualified_name", "kind").unionByName(one)
+    files = symbols.select(F.col("file_path").alias("path"), F.lit("rust").alias("language")).distinct()
+    got = resolve.resolve(edges.unionByName(more), symbols, files)
+    assert [(r["id"], r["target_id"], r["resolved_by"]) for r in got.collect() if r["target_id"]] == [(1000, "one", 2)]
+    assert got.count() == 301 and widest(got) < 2000
