@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
 from codeloom.functions import vectors as vec
+from codeloom.ship import ship
 
 
 def find_symbols(symbols: DataFrame, pattern: str, limit: int = 20, file: str | None = None, kind: str | None = None) -> DataFrame:
@@ -80,18 +83,105 @@ def name_scores(symbols: DataFrame, pattern: str) -> DataFrame:
     return symbols.where(F.contains(low, F.lit(p))).select("id", F.when(low == p, 1.0).when(low.startswith(p), 0.9).otherwise(0.7).alias("score"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, measure: str = "cosine", k: int = 10, block: int = 256) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best of `vectors` (vec_id, vector) for each of `queries` (query_id, vector), itself left out. Queries go out in blocks of bounded size; each is met by one scan, and ranks come from partial top-k lists."""
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    v = vectors.select("vec_id", vec.doubles(F.col("vector")).alias("v"))
-    out = None
-    for i in range(blocks):
-        q = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", vec.doubles(F.col("vector")).alias("q"))
-        score = {"cosine": vec.cosine, "dot": vec.dot, "l2": vec.l2}[measure](F.col("q"), F.col("v"))
-        pairs = v.crossJoin(F.broadcast(q)).where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", score.alias("score"))
-        out = pairs if out is None else out.union(pairs)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").asc() if measure == "l2" else F.col("score").desc(), "vec_id")
+#: Queries and vectors in a cell of a search, about, and queries that are measured at once.
+ASKED, STRIPE, STEP = 2048, 8192, 256
+
+
+def _exact(measure: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The score of each row of x with that of y, added up component by component as the column expressions do."""
+    dot = lambda a, b: sum((a[:, i] * b[:, i] for i in range(a.shape[1])), np.zeros(len(a)))
+    if measure == "l2":
+        return np.sqrt(dot(x - y, x - y))
+    if measure == "dot":
+        return dot(x, y)
+    size = np.sqrt(dot(x, x)) * np.sqrt(dot(y, y))
+    return np.where(size > 0, dot(x, y) / np.where(size > 0, size, 1.0), 0.0)
+
+
+def _best(measure: str, k: int, q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) by their places: the k best of v for each of q. One product of matrices gives nearness up to an error that is bounded; all within it of the k-th are scored exactly. v_ids are in the order of the ids."""
+    error = 8 * (v.shape[1] + 8) * np.finfo(float).eps
+    nv, nq = np.sqrt((v * v).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
+    out = []
+    for at in range(0, len(q), STEP):
+        x, n = q[at : at + STEP], nq[at : at + STEP, None]
+        near = x @ v.T
+        if measure == "cosine":
+            size = n * nv
+            near, slack = np.where(size > 0, near / np.where(size > 0, size, 1.0), 0.0), np.full_like(n, error)
+        elif measure == "l2":
+            near, slack = 2 * near - n * n - nv * nv, error * (n + nv.max()) ** 2
+        else:
+            slack = error * n * nv.max()
+        near[q_ids[at : at + STEP, None] == v_ids] = -np.inf
+        least = np.partition(near, -k, axis=1)[:, -k, None] if near.shape[1] > k else np.full_like(n, -np.inf)
+        i, j = np.nonzero((near >= least - 2 * slack) & (near > -np.inf))
+        score = _exact(measure, x[i], v[j])
+        order = np.lexsort((v_ids[j], score if measure == "l2" else -score, i))
+        i, j, score = i[order], j[order], score[order]
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        keep = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < k
+        out.append((i[keep] + at, j[keep], score[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _matrix(lists: pa.ChunkedArray, rows: int) -> np.ndarray:
+    lists = lists.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
+def _sound(v: Column) -> Column:
+    """Whether products of v's components neither overflow nor vanish: no nulls, all finite, no norm near the limits of doubles."""
+    wide = vec.doubles(v)
+    square = vec.dot(wide, wide)
+    return F.coalesce((F.size(v) > 0) & (square <= 1e200) & ((square >= 1e-200) | ~F.exists(wide, lambda x: x != 0)), F.lit(False))
+
+
+def _by_size(rows: DataFrame, column: str) -> dict[tuple[int, bool], int]:
+    return {(r["size"], r["sound"]): r["n"] for r in rows.groupBy(F.size(column).alias("size"), _sound(F.col(column)).alias("sound")).agg(F.count("*").alias("n")).collect()}
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, measure: str = "cosine", k: int = 10) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best of `vectors` (vec_id, vector) for each of `queries` (query_id, vector), itself left out.
+
+    Queries and vectors are dealt to cells of bounded size, each pair of which meets in one cell; ranks come from the cells' lists. Of equal
+    vectors the k + 1 smallest ids can be among the best, and only these go on. Vectors of other sizes than most, or with nulls or
+    components that aren't finite, are met row by row.
+    """
+    ship(vectors.sparkSession)
+    sizes, asked = _by_size(vectors, "vector"), _by_size(queries, "vector")
+    size = max((key for key in sizes if key[1]), key=lambda key: (sizes[key], key[0]), default=(-1, True))
+    sound = lambda c: (F.size(c) == size[0]) & _sound(F.col(c))
+    n, m = sizes.get(size, 0), asked.get(size, 0)
+    wide, high = max(1, -(-m // ASKED)), max(1, -(-n // STRIPE))
+    ids = vectors.schema["vec_id"].dataType.simpleString()
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {ids}, score double"
+    place = F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id"))
+    few = vectors.where(sound("vector")).withColumn("place", place).where(F.col("place") <= k + 1).select("vec_id", "vector")
+    side = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    q = queries.where(sound("vector")).select((side("query_id", wide) * high).alias("row"), "query_id", "vector", every(high).alias("column")).select((F.col("row") + F.col("column")).alias("cell"), "query_id", "vector")
+    v = few.select(side("vec_id", high).alias("column"), "vec_id", "vector", every(wide).alias("row")).select((F.col("row") * high + F.col("column")).alias("cell"), "vec_id", "vector")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            i = j = np.zeros(0, np.int64)
+            score = np.zeros(0)
+        else:
+            a, b = (t.column(c).to_numpy() for t, c in ((left, "query_id"), (right, "vec_id")))
+            order = np.unique(np.concatenate((a, b)), return_inverse=True)[1]
+            i, j, score = _best(measure, k, _matrix(left.column("vector"), len(a)), order[: len(a)], _matrix(right.column("vector"), len(b)), order[len(a) :])
+        return pa.table({"query_id": left.column("query_id").take(pa.array(i)), "vec_id": right.column("vec_id").take(pa.array(j)), "score": score})
+
+    out = q.groupBy("cell").cogroup(v.groupBy("cell")).applyInArrow(meet, schema)
+    value = {"cosine": vec.cosine, "dot": vec.dot, "l2": vec.l2}[measure](vec.doubles(F.col("q")), vec.doubles(F.col("v")))
+    rows = lambda q, v: q.select("query_id", F.col("vector").alias("q")).crossJoin(v.select("vec_id", F.col("vector").alias("v"))).where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", value.alias("score"))
+    odd = ~F.coalesce(sound("vector"), F.lit(False))
+    if sum(asked.values()) > m:
+        out = out.unionByName(rows(queries.where(odd), vectors))
+    if sum(sizes.values()) > n:
+        out = out.unionByName(rows(queries.where(~odd), vectors.where(odd)))
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("score") if measure == "l2" else F.desc_nulls_last("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -323,3 +323,19 @@ def test_resolution_of_shared_names(spark):
     got = resolve.resolve(edges.unionByName(more), symbols, files)
     assert [(r["id"], r["target_id"], r["resolved_by"]) for r in got.collect() if r["target_id"]] == [(1000, "one", 2)]
     assert got.count() == 301 and widest(got) < 2000
+
+
+@pytest.mark.parametrize("measure", ["cosine", "l2", "dot"])
+def test_search_is_exact(spark, measure):
+    """Against all pairs, with copies, ties, zero vectors and odd rows."""
+    rng = random.Random(5)
+    made = [[float(rng.randrange(-2, 3)) for _ in range(4)] for _ in range(150)] + [[1.0, 0.0, 2.0, -1.0]] * 150 + [[0.0] * 4] * 4 + [[1.0, 2.0], None, [1.0, None, 0.0, 2.0], [1e160, 0.0, 0.0, 0.0]]
+    v = spark.createDataFrame(list(enumerate(made)), "vec_id long, vector array<double>").repartition(3)
+    q = v.where("vec_id % 7 = 0 or vec_id > 300").select(F.col("vec_id").alias("query_id"), "vector")
+    score = {"cosine": vectors.cosine, "dot": vectors.dot, "l2": vectors.l2}[measure](F.col("q"), F.col("v"))
+    pairs = q.withColumnRenamed("vector", "q").crossJoin(v.withColumnRenamed("vector", "v")).where("vec_id <> query_id").select("query_id", "vec_id", score.alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("score") if measure == "l2" else F.desc_nulls_last("score"), "vec_id")
+    want = pairs.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("query_id", "rank", "vec_id", "score").collect()
+    got = search.top_k(v, q, measure, 5)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want))
+    assert widest(got) < 10000
