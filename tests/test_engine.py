@@ -339,3 +339,20 @@ def test_search_is_exact(spark, measure):
     got = search.top_k(v, q, measure, 5)
     assert sorted(map(str, got.collect())) == sorted(map(str, want))
     assert widest(got) < 10000
+
+
+def test_sums_in_the_order_of_events(spark, tmp_path):
+    """Sums of doubles that a half of rounding tells apart don't depend on files."""
+    values = [0.1, 0.3, 0.7, 1.4]  # 2.5 in this order, and less from the end
+    total = back = 0.0
+    for x in values:
+        total += x
+    for x in reversed(values):
+        back += x
+    assert (total >= 2.5) != (back >= 2.5)
+    rows_ = [(i, x) for i, x in enumerate(values)][::-1]
+    e = spark.createDataFrame([(9, 0.1), *rows_], "event_id long, value double").selectExpr("event_id", "timestamp'2024-01-01 10:00:00' AS ts", "if(event_id = 9, 2L, 1L) AS user_id", "'view' AS event_type", "value")
+    e.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    from codeloom.plans.queries import QUERIES
+
+    assert [r["mass"] for r in QUERIES["trend_hotspot_mass"](spark, str(tmp_path)).collect()] == [3 if total >= 2.5 else 2]
