@@ -356,3 +356,17 @@ def test_sums_in_the_order_of_events(spark, tmp_path):
     from codeloom.plans.queries import QUERIES
 
     assert [r["mass"] for r in QUERIES["trend_hotspot_mass"](spark, str(tmp_path)).collect()] == [3 if total >= 2.5 else 2]
+
+
+def test_shingles_in_arrow(spark):
+    """Hashes are those of the column expression, at every length of a run, and sets are folded by their digests."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcé漢𝄞") for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    texts = [" \t".join(rng.choice(words) for _ in range(n)) + "\n\x0b\u00a0x" for n in range(0, 120, 3)] + ["a b c d e", "", " ", None, " ".join(["q"] * 70), "q " * 70, "z" * 3000 + " b c d e f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokens = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda t: t != "")
+    want = docs.select("doc_id", F.size(tokens).alias("n"), F.sort_array(tx.shingles(tokens)).alias("s"))
+    sets = similarity.shingled(docs, "doc_id", "text", 5, 0)
+    assert rows(sets, "key", "n_tokens", "shingles") == rows(want, "doc_id", "n", "s")
+    assert {r["key"]: r["copies"] for r in similarity.folded(sets.where("n_tokens >= 60")).collect()}[len(texts) - 3] == 2
+    assert rows(similarity.digests(docs, "doc_id", "text", 5, 0), "key", "digest") == rows(sets, "key", "digest")
